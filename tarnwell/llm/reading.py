@@ -12,15 +12,15 @@ which are broadcast; every document is graded, over its whole text.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
 
 from tarnwell.session import materialize
 from tarnwell.tables import read_table
@@ -51,35 +51,41 @@ LIX_BOUNDS = (25, 35, 45, 55)
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _MARKUP = re.compile(r"<[^<>]{1,200}>|&[a-z]{2,8};|&#\d{1,6};")
 _LINE_END = re.compile(r"[\r\n\v\f\x85  ]+")
-_SENTENCE_END = re.compile(r"[.!?…]+[\"'»”)\]]*(?=\s|$)|\n{2,}")
+_SENTENCE_END = re.compile(r"[.!?…]+[\"'»”)\]]*(?=\s|$)")
 _FUNCTION = {w: frozenset(words.split()) for w, words in FUNCTION_WORDS.items()}
 _ANY_FUNCTION = frozenset().union(*_FUNCTION.values())
 
 
-def prose(text: str) -> str:
-    """The lines of a text that are prose, in lower case and without markup, parted by line ends."""
-    known, kept = _ANY_FUNCTION.__contains__, []
-    for line in _LINE_END.split(_MARKUP.sub(" ", text.lower())):
-        words = _WORD.findall(line)
+def prose(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text's lines of prose, in lower case and without markup, and the length of each of their sentences."""
+    known, find, split = _ANY_FUNCTION.__contains__, _WORD.findall, _SENTENCE_END.split
+    kept: list[str] = []
+    lengths: list[int] = []
+    text = text.lower()
+    if "<" in text or "&" in text:
+        text = _MARKUP.sub(" ", text)
+    for line in _LINE_END.split(text):
+        sentences = [find(s) for s in split(line)]
+        words = sentences[0] if len(sentences) == 1 else list(chain.from_iterable(sentences))
         if len(words) > 1 and sum(map(known, words)) >= FUNCTION_SHARE * len(words):
-            kept.append(line)
-    return "\n\n".join(kept)
+            kept += words
+            lengths += map(len, sentences)
+    return kept, lengths
 
 
 def units(text: str | None) -> tuple[str | None, Counter, Counter]:
     """A text's language (None if it is none that counts), its prose words and its sentence lengths, both counted."""
     if not text:
         return None, Counter(), Counter()
-    found = prose(text)
-    words = Counter(_WORD.findall(found))
-    total = words.total()
+    found, sentences = prose(text)
+    words, total = Counter(found), len(found)
     if not total:
         return None, words, Counter()
-    shares = {k: sum(words[w] for w in v) for k, v in _FUNCTION.items()}
+    shares = {k: sum(words[w] for w in v if w in words) for k, v in _FUNCTION.items()}
     language = max(shares, key=shares.get)
     if shares[language] < FUNCTION_SHARE * total:
         return None, words, Counter()
-    lengths = Counter(len(_WORD.findall(s)) for s in _SENTENCE_END.split(found))
+    lengths = Counter(sentences)
     lengths.pop(0, None)
     return language, words, lengths
 
@@ -91,62 +97,54 @@ def lix_grade(words: Counter, lengths: Counter) -> int:
     return 1 + sum(lix >= bound for bound in LIX_BOUNDS)
 
 
-def _length_class(word: str) -> str:
-    return f"#{min(len(word), 24) // 3}"
+#: Words and sentences longer than this are classed like those of this length.
+LONGEST, LONGEST_SENTENCE = 24, 60
+
+
+def _length_class(letters: int) -> str:
+    return f"#{min(letters, LONGEST) // 3}"
 
 
 def _sentence_class(words: int) -> str:
-    return f"§{min(words, 60) // 4}"
+    return f"§{min(words, LONGEST_SENTENCE) // 4}"
+
+
+LENGTH_CLASSES = sorted({_length_class(n) for n in range(LONGEST + 1)})
+SENTENCE_CLASSES = sorted({_sentence_class(n) for n in range(LONGEST_SENTENCE + 1)})
 
 
 class GradeModels:
     """The models of all languages: for each, its units' rows in a matrix of log probabilities by grade."""
 
-    def __init__(self, counts: list[tuple[str, int, str, float, int]], priors: dict[tuple[str, int], float]) -> None:
-        """``counts``: language, grade, word or sentence class, weight and documents (0 for sentence classes)."""
-        self.languages: dict[str, tuple[dict[str, int], np.ndarray, np.ndarray, list[int]]] = {}
-        documents: Counter = Counter()
-        for _, _, unit, _, n in counts:
-            documents[unit] += n
+    def __init__(self, counts: list[tuple[str, int, str, float]], priors: dict[tuple[str, int], float]) -> None:
+        """``counts``: language, grade, unit and weight, rare words already replaced by their length class."""
+        self.languages: dict[str, tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]] = {}
         for language in sorted({k[0] for k in priors}):
             grades = sorted(g for k, g in priors if k == language)
-            rows: dict[str, int] = {}
-            cells: Counter = Counter()
-            for k, grade, unit, weight, n in counts:
-                if k == language:
-                    kept = unit if n == 0 or documents[unit] >= LEAST_DOCUMENTS else _length_class(unit)
-                    cells[(rows.setdefault(kept, len(rows)), grades.index(grade))] += weight
-            for c in [f"#{i}" for i in range(9)] + [f"§{i}" for i in range(16)]:
-                rows.setdefault(c, len(rows))
+            rows = {c: i for i, c in enumerate([*LENGTH_CLASSES, *SENTENCE_CLASSES])}
+            own = [(rows.setdefault(unit, len(rows)), grades.index(grade), weight) for k, grade, unit, weight in counts if k == language]
             matrix = np.full((len(rows), len(grades)), SMOOTHING)
-            for (row, column), weight in cells.items():
+            for row, column, weight in own:
                 matrix[row, column] += weight
-            prior = np.log(np.array([priors[(language, g)] for g in grades]))
-            self.languages[language] = (rows, np.log(matrix / matrix.sum(axis=0)), prior - np.log(np.exp(prior).sum()), grades)
+            prior = np.array([priors[(language, g)] for g in grades])
+            rare = np.array([rows[_length_class(n)] for n in range(LONGEST + 1)])
+            sentence = np.array([rows[_sentence_class(n)] for n in range(LONGEST_SENTENCE + 1)])
+            self.languages[language] = (rows, np.log(matrix / matrix.sum(axis=0)), np.log(prior / prior.sum()), rare, sentence, grades)
 
     def grade(self, language: str, words: Counter, lengths: Counter) -> int:
         """The most likely grade of a document."""
         known = self.languages.get(language)
         if known is None:
             return lix_grade(words, lengths)
-        rows, matrix, prior, grades = known
-        at, weight = [], []
-        for word, n in words.items():
-            row = rows.get(word)
-            at.append(rows[_length_class(word)] if row is None else row)
-            weight.append(n)
-        for length, n in lengths.items():
-            at.append(rows[_sentence_class(length)])
-            weight.append(n * SENTENCE_WEIGHT)
-        return grades[int(np.argmax(prior + np.array(weight, float) @ matrix[at]))]
-
-
-_UNITS = StructType(
-    [
-        StructField("language", StringType()),
-        StructField("words", ArrayType(StructType([StructField("unit", StringType()), StructField("n", IntegerType()), StructField("word", BooleanType())]))),
-    ]
-)
+        rows, matrix, prior, rare, sentence, grades = known
+        at = [rows.get(w, -1) for w in words]
+        at = [rare[min(len(w), LONGEST)] if r < 0 else r for r, w in zip(at, words)]
+        at += [sentence[min(n, LONGEST_SENTENCE)] for n in lengths]
+        weight = np.array([*words.values(), *(n * SENTENCE_WEIGHT for n in lengths.values())], float)
+        return grades[int(np.argmax(prior + weight @ matrix[at]))]
+
+
+_UNITS = StructType([StructField("language", StringType()), StructField("words", MapType(StringType(), IntegerType())), StructField("lengths", MapType(IntegerType(), IntegerType()))])
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, grade: str, sample: int = SAMPLE) -> GradeModels:
@@ -160,24 +158,34 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, grade: str
 
     @F.arrow_udf(_UNITS)
     def taken(column: pa.Array) -> pa.Array:
-        out = []
-        for value in column:
-            language, words, lengths = units(value.as_py())
-            rows = [{"unit": w, "n": n, "word": True} for w, n in words.items()]
-            rows += [{"unit": _sentence_class(x), "n": n * SENTENCE_WEIGHT, "word": False} for x, n in lengths.items()]
-            out.append({"language": language, "words": rows} if words.total() >= LEAST_WORDS else None)
-        return pa.array(out, pa.struct([("language", pa.string()), ("words", pa.list_(pa.struct([("unit", pa.string()), ("n", pa.int32()), ("word", pa.bool_())])))]))
+        found = [units(value.as_py()) for value in column]
+        kept = [language if words.total() >= LEAST_WORDS else None for language, words, _ in found]
+
+        def as_map(counters: list[Counter], kind: pa.DataType) -> pa.Array:
+            ends = np.concatenate([[0], np.cumsum([len(c) for c in counters])]).astype(np.int32)
+            keys = pa.array([k for c in counters for k in c], kind)
+            return pa.MapArray.from_arrays(pa.array(ends), keys, pa.array([n for c in counters for n in c.values()], pa.int32()))
+
+        words, lengths = as_map([f[1] for f in found], pa.string()), as_map([f[2] for f in found], pa.int32())
+        return pa.StructArray.from_arrays([pa.array(kept, pa.string()), words, lengths], ["language", "words", "lengths"])
 
-    graded = texts.select(taken("text").alias("u"), "all", F.explode("marks").alias("m")).where("u.language is not null")
     share = F.col("m.count") / F.col("all")
-    graded = materialize(graded.select("u.language", "m.grade", share.alias("share"), "u.words"), "labelled")
-    each = graded.select("language", "grade", "share", F.explode("words").alias("w"))
-    counts = each.groupBy("language", "grade", "w.unit").agg(
-        F.sum(F.col("w.n") * F.col("share")).alias("weight"), F.count_if("w.word").alias("documents")
-    )
+    graded = texts.withColumn("u", taken("text")).select("u.*", "all", F.explode("marks").alias("m"))
+    graded = materialize(graded.select("language", "m.grade", share.alias("share"), "words", "lengths"), "labelled")
+    graded = graded.where("language is not null")  # not earlier: it would run the function on all documents, before the join
+    words = graded.select("language", "grade", "share", F.explode("words").alias("unit", "n"))
+    often = words.groupBy("unit").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= LEAST_DOCUMENTS)
+    length_class = F.concat(F.lit("#"), F.floor(F.least(F.length("unit"), F.lit(LONGEST)) / 3).cast("string"))
+    named = words.join(often, "unit", "left").withColumn("unit", F.when(F.col("documents").isNull(), length_class).otherwise(F.col("unit")))
+    lengths = graded.select("language", "grade", "share", F.explode("lengths").alias("length", "n"))
+    sentence_class = F.concat(F.lit("§"), F.floor(F.least("length", F.lit(LONGEST_SENTENCE)) / 4).cast("string"))
+    lengths = lengths.select("language", "grade", "share", sentence_class.alias("unit"), (F.col("n") * SENTENCE_WEIGHT).alias("n"))
+    units_of = named.select("language", "grade", "share", "unit", "n").unionByName(lengths)
+    counts = units_of.groupBy("language", "grade", "unit").agg(F.sum(F.col("n") * F.col("share")).alias("weight"))
     priors = graded.groupBy("language", "grade").agg(F.sum("share").alias("share"))
+    rows = counts.orderBy("language", "grade", "unit").toArrow()  # the models; the sample bounds them
     return GradeModels(
-        [tuple(r) for r in counts.orderBy("language", "grade", "unit").collect()],
+        list(zip(*[rows.column(c).to_pylist() for c in ("language", "grade", "unit", "weight")])),
         {(r["language"], r["grade"]): r["share"] for r in priors.collect()},
     )
 
