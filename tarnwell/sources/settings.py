@@ -1,0 +1,90 @@
+"""Rules and settings files: read and written on the driver."""
+
+from __future__ import annotations
+
+import json
+import os
+import tempfile
+
+from tarnwell.errors import RuleError
+from tarnwell.plans.rules import RuleSet, parse_ruleset
+
+
+def write_atomically(path: str, text: str) -> None:
+    """A file replaced as a whole or not at all."""
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    handle, fresh = tempfile.mkstemp(dir=folder)
+    with os.fdopen(handle, "w", encoding="utf-8") as file:
+        file.write(text)
+    os.replace(fresh, path)
+
+
+def load_rules(path: str) -> RuleSet:
+    """The rules of a file."""
+    try:
+        with open(path, encoding="utf-8") as file:
+            return parse_ruleset(json.load(file))
+    except json.JSONDecodeError as e:
+        raise RuleError(f"{path} isn't JSON: {e}") from e
+
+
+def save_rules(path: str, rules: RuleSet) -> None:
+    """Rules to a file."""
+    write_atomically(path, json.dumps(rules.to_json(), indent=2, ensure_ascii=False) + "\n")
+
+
+def parse_env(text: str) -> dict[str, str]:
+    """The settings of an environment file: KEY=value lines, ``export`` allowed, quotes and trailing comments removed."""
+    out: dict[str, str] = {}
+    for line in text.splitlines():
+        line = line.strip().removeprefix("export ").lstrip()
+        key, equals, value = line.partition("=")
+        if not equals or line.startswith("#") or not key.strip():
+            continue
+        value = value.strip()
+        if value[:1] in "'\"" and value[:1] and value.endswith(value[0]) and len(value) > 1:
+            value = value[1:-1]
+        else:
+            value = value.split(" #", 1)[0].rstrip()
+        out[key.strip()] = value
+    return out
+
+
+class Settings:
+    """Layers of settings, the first that isn't blank holds: overlay, environment, default."""
+
+    def __init__(self, overlay: dict[str, str] | None = None, environment: dict[str, str] | None = None) -> None:
+        self._layers = ((overlay or {}), (environment if environment is not None else dict(os.environ)))
+
+    def text(self, key: str, default: str = "") -> str:
+        return next((v.strip() for layer in self._layers if (v := str(layer.get(key) or "")).strip()), default)
+
+    def number(self, key: str, default: int) -> int:
+        text = self.text(key)
+        return int(text) if text else default
+
+    def flag(self, key: str, default: bool) -> bool:
+        text = self.text(key).lower()
+        return text in ("1", "true", "yes", "on") if text else default
+
+    def listed(self, key: str, default: str = "") -> list[str]:
+        return [x.strip() for x in self.text(key, default).split(",") if x.strip()]
+
+    def suffixes(self, key: str, default: str) -> frozenset[str]:
+        return frozenset("." + x.lower().lstrip(".") for x in self.listed(key, default))
+
+    def source(self, key: str) -> str:
+        names = ("overlay", "environment")
+        return next((n for n, layer in zip(names, self._layers) if str(layer.get(key) or "").strip()), "default")
+
+
+def resolve_tag(wanted: str, known: list[str]) -> str:
+    """The model that a name means: itself, its ``:latest``, or the first known one that begins with it."""
+    if wanted in known:
+        return wanted
+    if f"{wanted}:latest" in known:
+        return f"{wanted}:latest"
+    if near := sorted(k for k in known if k.startswith(wanted)):
+        return near[0]
+    raise LookupError(f"model {wanted!r} is not installed; available: {', '.join(sorted(known)) or 'none'}")
