@@ -3,7 +3,8 @@
 Texts are cut into words by the tokenizer's pattern. Words not seen before by a worker are encoded by a recursive DuckDB
 query: rows (word, position, token) are joined with the merge table, and in each step every word contracts the
 occurrences of its pair of least rank, leftmost first, until no word has a pair left; an ordered aggregation gives the
-ids. All occurrences of one pair may go in one step, since any pair that arises from a merge has a later rank. Words are
+ids. All occurrences of one pair may go in one step, since any pair that arises from a merge has a later rank. In long
+words a step also takes pairs that no neighbour can break, which leaves few steps even for words of millions of bytes. Words are
 first cut where no token of the vocabulary has the two bytes side by side, as no merge can cross such a place.
 
 The vocabulary has a fixed size and is broadcast; texts never leave their partition.
@@ -14,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,40 +40,53 @@ KNOWN_WORDS, KNOWN_TOKENS = 300_000, 4_000_000
 QUERY_BYTES = 250_000
 
 # Memory and threads of DuckDB within a Python worker; it must not spill to a local disk.
-_SETTINGS = "SET memory_limit='300MB'; SET threads=1; SET temp_directory=''; SET preserve_insertion_order=false"
+_SETTINGS = "SET memory_limit='400MB'; SET threads=1; SET temp_directory=''; SET preserve_insertion_order=false"
 
-_ENCODE = """
-WITH RECURSIVE bpe(word, pos, token, step) AS (
-    SELECT word, pos, token, 0 FROM start
-    UNION ALL
-    SELECT word, pos, coalesce(merged, token), step + 1
+#: Pieces up to so many bytes are encoded together by one rank a step; longer ones by all ranks that are safe.
+SHORT_BYTES = 64
+#: Pieces beyond so many bytes are contracted by the same steps on an array, for DuckDB's windows would outgrow its share.
+LONG_BYTES = 100_000
+
+# A step: where every word has its pair of least rank, and with {safe} also where no neighbour can be merged with either
+# half at a lower rank, whatever it grows to. Of occurrences that overlap (a run of one token) every second is taken.
+_STEP = """
+    SELECT word, pos, CASE WHEN chosen THEN merged_id ELSE token END AS token {more}
     FROM (
-        SELECT word, pos, token, step, CASE WHEN chosen THEN best END AS merged,
-               lag(chosen, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone, best
+        SELECT *, lag(chosen, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone
         FROM (
-            SELECT *, hit AND (row_number() OVER (PARTITION BY word, hit, run ORDER BY pos)) % 2 = 1 AS chosen
+            SELECT *, safe OR (hit AND (row_number() OVER (PARTITION BY word, hit, run ORDER BY pos)) % 2 = 1) AS chosen
             FROM (
-                SELECT *, hit, pos_no - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS run
+                SELECT *, place - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS run
                 FROM (
-                    SELECT *, coalesce(merged_id = best, false) AS hit
+                    SELECT *, coalesce(merged_id = best, false) AS hit, {safe} AS safe
                     FROM (
-                        SELECT p.*, m.id AS merged_id, min(m.id) OVER (PARTITION BY p.word) AS best
+                        SELECT p.*, m.id AS merged_id, min(m.id) OVER (PARTITION BY p.word) AS best {least}
                         FROM (
-                            SELECT word, pos, token, step,
-                                   lead(token) OVER (PARTITION BY word ORDER BY pos) AS follower,
-                                   row_number() OVER (PARTITION BY word ORDER BY pos) AS pos_no
-                            FROM bpe
-                        ) p LEFT JOIN merges m ON m.a = p.token AND m.b = p.follower
+                            SELECT *, lead(token) OVER w AS follower, row_number() OVER w AS place {around}
+                            FROM {state} WINDOW w AS (PARTITION BY word ORDER BY pos)
+                        ) p LEFT JOIN merges m ON m.a = p.token AND m.b = p.follower {joins}
                     ) WHERE best IS NOT NULL
                 )
             )
         )
     ) WHERE NOT gone
-)
-SELECT word, list(token ORDER BY pos) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM bpe)
-WHERE step = last GROUP BY word ORDER BY word
 """
+_PLAIN = {"safe": "false", "least": "", "around": "", "joins": ""}
+_SAFE = {
+    "safe": "coalesce(merged_id < coalesce(from_left, 2147483647) AND merged_id < coalesce(from_right, 2147483647), false)",
+    "least": ", l.least AS from_left, r.least AS from_right",
+    "around": ", lag(token) OVER w AS before, lead(token, 2) OVER w AS after",
+    "joins": "LEFT JOIN left_of l ON l.s = p.before AND l.t = p.token LEFT JOIN right_of r ON r.t = p.follower AND r.s = p.after",
+}
+
+
+def _recursive(parts: dict) -> str:
+    step = _STEP.format(state="bpe", more=", step + 1", **parts)
+    return f"""
+        WITH RECURSIVE bpe(word, pos, token, step) AS (SELECT word, pos, token, 0 FROM start UNION ALL {step})
+        SELECT word, list(token ORDER BY pos) AS ids
+        FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM bpe)
+        WHERE step = last GROUP BY word ORDER BY word"""
 
 
 def _byte_letters() -> dict[str, int]:
@@ -102,6 +116,49 @@ def load_vocabulary(path: str) -> dict:
     return {"base": base, "merges": merges, "side_by_side": side_by_side}
 
 
+def _neighbours(merges: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """For a token and its neighbour, the least rank at which what the neighbour may grow to merges with the token.
+
+    The first list has (neighbour before, token, rank), the second (token, neighbour after, rank). Every token has one
+    pair it is merged from, so what may become a token's last part is the chain of its right halves.
+    """
+    halves = {int(c): (int(a), int(b)) for a, b, c in merges}
+
+    def chain(token: int, side: int) -> Iterator[int]:
+        yield token
+        while token in halves:
+            token = halves[token][side]
+            yield token
+
+    before: dict[tuple[int, int], int] = {}
+    after: dict[tuple[int, int], int] = {}
+    for a, b, c in merges.tolist():  # by rank, so the first is the least
+        for s in chain(a, 1):
+            before.setdefault((s, b), c)
+        for s in chain(b, 0):
+            after.setdefault((a, s), c)
+    return [(s, t, c) for (s, t), c in before.items()], [(t, s, c) for (t, s), c in after.items()]
+
+
+#: Stands for no rank.
+_NONE = np.iinfo(np.int64).max
+
+
+def _lookup(rows) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from two arrays of tokens to the rank of each pair, by binary search."""
+    a, b, c = np.array(rows, np.int64).T
+    keys = a << 32 | b
+    order = np.argsort(keys)
+    keys, ranks = keys[order], c[order]
+
+    def find(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        wanted = x.astype(np.int64) << 32 | y
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, ranks[at], _NONE)
+
+    return find
+
+
 class Encoder:
     """Encodes batches of texts; what it knows of words stays from batch to batch."""
 
@@ -116,33 +173,77 @@ class Encoder:
         self._db.register("given", pa.table({"a": a, "b": b, "id": c}))
         self._db.execute("CREATE TABLE merges AS SELECT * FROM given")
         self._db.unregister("given")
+        self._merges, self._long_ready = vocabulary["merges"], False
         self._forget()
 
+    def _prepare_long(self) -> None:
+        if not self._long_ready:
+            before, after = _neighbours(self._merges)
+            for name, columns, rows in (("left_of", ("s", "t", "least"), before), ("right_of", ("t", "s", "least"), after)):
+                given = pa.table({c: pa.array(x, pa.int32()) for c, x in zip(columns, zip(*rows))})
+                self._db.register("given", given)
+                self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
+                self._db.unregister("given")
+            self._rank, self._before, self._after = _lookup(self._merges), _lookup(before), _lookup(after)
+            self._long_ready = True
+
     def _forget(self) -> None:
         self._codes: dict[str, int] = {}
         self._ids: list[np.ndarray] = []
         self._flat = np.zeros(0, np.int32)
         self._starts = np.zeros(1, np.int64)
 
+    def _start(self, pieces: list[bytes]) -> pa.Table:
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        word = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+        pos = (np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        return pa.table({"word": word, "pos": pos, "token": self._base[np.frombuffer(b"".join(pieces), np.uint8)]})
+
+    def _query(self, pieces: list[bytes], parts: dict) -> list[np.ndarray]:
+        self._db.register("start", self._start(pieces))
+        ids = self._db.sql(_recursive(parts)).to_arrow_table().column("ids").combine_chunks()
+        self._db.unregister("start")
+        values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
+        return [values[x:y] for x, y in zip(offsets, offsets[1:])]
+
+    def _contract_array(self, piece: bytes) -> np.ndarray:
+        """The same steps on an array, for words whose window would not fit into DuckDB's share of memory."""
+        token = self._base[np.frombuffer(piece, np.uint8)]
+        while len(token) > 1:
+            rank = self._rank(token[:-1], token[1:])
+            best = rank.min()
+            if best == _NONE:
+                break
+            left, right = np.full(len(rank), _NONE), np.full(len(rank), _NONE)
+            left[1:] = self._before(token[:-2], token[1:-1])
+            right[:-1] = self._after(token[1:-1], token[2:])
+            hit = rank == best
+            first = np.maximum.accumulate(np.where(hit & ~np.concatenate([[False], hit[:-1]]), np.arange(len(hit)), 0))
+            chosen = ((rank < left) & (rank < right) & (rank < _NONE)) | (hit & ((np.arange(len(hit)) - first) % 2 == 0))
+            gone = np.concatenate([[False], chosen])
+            token = np.where(np.concatenate([chosen, [False]]), np.concatenate([rank, [0]]), token)[~gone].astype(np.int32)
+        return token
+
     def _contract(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each piece, by the recursive query."""
-        out: list[np.ndarray] = []
-        at = 0
-        while at < len(pieces):
-            end, size = at, 0
-            while end < len(pieces) and (size == 0 or size + len(pieces[end]) <= QUERY_BYTES):
-                size += len(pieces[end])
-                end += 1
-            lengths = np.fromiter(map(len, pieces[at:end]), np.int64, end - at)
-            word = np.repeat(np.arange(end - at, dtype=np.int32), lengths)
-            pos = (np.arange(size) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-            token = self._base[np.frombuffer(b"".join(pieces[at:end]), np.uint8)]
-            self._db.register("start", pa.table({"word": word, "pos": pos, "token": token}))
-            ids = self._db.sql(_ENCODE).to_arrow_table().column("ids").combine_chunks()
-            self._db.unregister("start")
-            values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-            out += [values[x:y] for x, y in zip(offsets, offsets[1:])]
-            at = end
+        """The ids of each piece, by recursive queries over pieces of like length and bounded size together."""
+        out: list[np.ndarray | None] = [None] * len(pieces)
+        short = [i for i, p in enumerate(pieces) if len(p) <= SHORT_BYTES]
+        middle = [i for i, p in enumerate(pieces) if SHORT_BYTES < len(p) <= LONG_BYTES]
+        if len(short) < len(pieces):
+            self._prepare_long()
+        for chosen, parts in ((short, _PLAIN), (middle, _SAFE)):
+            at = 0
+            while at < len(chosen):
+                end, size = at, 0
+                while end < len(chosen) and (size == 0 or size + len(pieces[chosen[end]]) <= QUERY_BYTES):
+                    size += len(pieces[chosen[end]])
+                    end += 1
+                for i, ids in zip(chosen[at:end], self._query([pieces[i] for i in chosen[at:end]], parts)):
+                    out[i] = ids
+                at = end
+        for i, p in enumerate(pieces):
+            if len(p) > LONG_BYTES:
+                out[i] = self._contract_array(p)
         return out
 
     def _learn(self, words: list[str]) -> None:
