@@ -63,7 +63,8 @@ def normalise(
 
     Null, blank, very long and unreadable texts, impossible dates and times give null; so does a written zone that
     doesn't exist. ``zone`` may be null for sources that declare none; then ``estimate_zones`` supplies it, and where
-    it has no evidence either, UTC holds; ``all_declared`` says that no zone is null, which spares looking. Other columns pass unchanged; repeated rows stay repeated.
+    it has no evidence either, UTC holds; ``all_declared`` says that no zone is null, which spares looking. Other
+    columns pass unchanged but for one named like ``out``, which gives way; repeated rows stay repeated.
     """
     parsed = _let(df, "__bare", timestamps.bare_text(F.col(text)))
     parsed = _let(parsed, "__parsed", timestamps.parse_parts(F.col("__bare"), F.col(day_first)))
@@ -81,7 +82,7 @@ def normalise(
         F.col("__parsed.epoch_us"),
         timestamps.to_micros(F.col("__fields"), F.coalesce("__fields.zone", clock, F.lit("UTC"))),
     )
-    return parsed.withColumn(out, moment).select(*[F.col(f"`{c}`") for c in df.columns], out)
+    return parsed.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()], moment.alias(out))
 
 
 def taken_moments(images: DataFrame, roots: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from tarnwell.tables import current_rows, read_table
+from tarnwell.tables import current_rows, own_name, read_table
 
 #: The automaton's transitions: state of a parent -> (key of the children, state of an object child, of a text child).
 STATES = {
@@ -164,7 +164,7 @@ def shred(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """One row per node of the replies in column ``text``: ``keys``, the node's state, its positions and typed values.
 
     Rows are independent of each other: no shuffle, and a batch is turned to nodes at a time. Empty tables give no
-    rows, repeated rows their nodes repeatedly.
+    rows, repeated rows their nodes repeatedly. A key named like a column of nodes gets an underscore after its name.
     """
 
     @F.pandas_udf(ArrayType(StructType.fromDDL(NODE_SCHEMA)))
@@ -172,7 +172,8 @@ def shred(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
         return pd.Series([classify(t) for t in texts], dtype=object)
 
     exploded = df.select(*[F.col(f"`{k}`") for k in keys], F.explode(nodes(F.col(text))).alias("__node"))
-    return exploded.select(*[F.col(f"`{k}`") for k in keys], "__node.*")
+    fields = [f.split(" ")[0] for f in NODE_SCHEMA.split(", ")]
+    return exploded.select(*[F.col(f"`{k}`").alias(own_name(k, fields)) for k in keys], "__node.*")
 
 
 def variant_tables(nodes: DataFrame, key: str) -> dict[str, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.plans.rules import Rule, RuleSet
 from tarnwell.schema import DONE
+from tarnwell.session import materialize
 
 
 @dataclass(frozen=True)
@@ -79,13 +80,16 @@ def allocate_names(rows: DataFrame) -> DataFrame:
     order = F.struct("image_id", "seq")
     first = rows.groupBy("directory", "filename").agg(F.min(order).alias("first"))
     marked = rows.join(first, ["directory", "filename"]).withColumn("keeps", order == F.col("first")).drop("first")
+    marked = materialize(marked, "names")
     while True:
         named = marked.withColumn("name", F.when(F.col("keeps"), F.col("filename")).otherwise(_suffixed(F.col("filename"), F.col("image_id"))))
         made = named.where("not keeps").groupBy("directory", "name").agg(F.min(order).alias("made")).withColumnRenamed("name", "filename")
         late = marked.where("keeps").join(made, ["directory", "filename"]).where(order > F.col("made")).select("image_id", "seq", F.lit(True).alias("__late"))
         if late.isEmpty():
             return named.drop("keeps")
-        marked = marked.join(late, ["image_id", "seq"], "left").withColumn("keeps", F.col("keeps") & F.col("__late").isNull()).drop("__late")
+        marked = materialize(
+            marked.join(late, ["image_id", "seq"], "left").withColumn("keeps", F.col("keeps") & F.col("__late").isNull()).drop("__late"), "names"
+        )
 
 
 def actionable(images: DataFrame) -> DataFrame:

@@ -29,3 +29,11 @@ def current_rows(df: DataFrame, key: str, order: str, columns: list[str]) -> Dat
 def is_live(missing: Column, deleted: Column) -> Column:
     """Whether a current row stands for a file that is there; a null flag counts as 0."""
     return (F.coalesce(missing, F.lit(0)) == 0) & (F.coalesce(deleted, F.lit(0)) == 0)
+
+
+def own_name(name: str, taken: tuple[str, ...] | list[str]) -> str:
+    """``name``, with underscores after it while a result has a column of that name already, letter case aside."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

@@ -1,0 +1,25 @@
+"""Every query of the core against its SQL, and the entry points."""
+
+import pytest
+
+import __spark_entry__
+from compare import duck_rows, spark_rows
+from tarnwell.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, data, duck, name):
+    df = QUERIES[name](spark, data)
+    columns, want = duck_rows(duck, ORACLES[name])
+    assert sorted(df.columns) == columns
+    assert spark_rows(df) == want
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_runs(spark, data, name):
+    assert QUERIES[name](spark, data).columns
+
+
+def test_entry_points(spark):
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert __spark_entry__.entry(spark).count() > 0
