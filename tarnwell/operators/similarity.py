@@ -22,7 +22,7 @@ def choose_bands(rows: int, distance: int) -> int:
     def cost(m: int) -> float:
         width, radius = 64 // m, distance // m
         probes = m * sum(comb(64 - width * (m - 1), i) for i in range(radius + 1))
-        return rows * probes * (1 + rows / 2**width)
+        return probes * (1 + rows / 2**width)
 
     return min(range(1, min(distance + 1, 16) + 1), key=cost)
 
