@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 
 from tarnwell.llm.tokenize import TOKENIZERS, token_count
 from tarnwell.session import materialize
-from tarnwell.tables import read_table
+from tarnwell.tables import own_name, read_table
 
 CAPACITY = 2048
 #: Ranks within one length are taken in groups of about so many items.
@@ -58,7 +58,8 @@ def containers(items: DataFrame, key: str, length: str, capacity: int = CAPACITY
     """``container_id, slot, key, part_no, first, length``: the place of every item or part of one.
 
     ``slot`` is the part's offset in its container, ``first`` its offset in the item. Items of null, zero or negative
-    length need no place. Items of equal length are ranked by a hash and their key; keys must be unique.
+    length need no place. Items of equal length are ranked by a hash and their key. Repeated
+    rows are items of their own, a null key is a key, and a key named like a column of the result gets an underscore.
     """
     spark = items.sparkSession
     sized = items.where(F.col(length) > 0).select(F.col(key).alias("key"), F.col(length).cast("bigint").alias("n"))
@@ -84,7 +85,7 @@ def containers(items: DataFrame, key: str, length: str, capacity: int = CAPACITY
     return placed.select(
         (F.col("at.first_container") + F.expr("(rank - at.from_rank) div at.per")).alias("container_id"),
         (F.col("at.slot") + F.pmod(nth, F.col("at.per")) * F.col("part")).alias("slot"),
-        F.col("key").alias(key),
+        F.col("key").alias(own_name(key, ("container_id", "slot", "part_no", "first", "length"))),
         "part_no",
         (F.col("part_no") * capacity).alias("first"),
         F.col("part").alias("length"),

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
 
 from tarnwell.session import materialize
-from tarnwell.tables import read_table
+from tarnwell.tables import own_name, read_table
 
 #: At most so many labelled documents are used for fitting.
 SAMPLE = 20_000
@@ -193,7 +193,8 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, grade: str
 def reading_levels(documents: DataFrame, models: GradeModels, key: str, text: str) -> DataFrame:
     """``key, language, words, grade`` of every document; language and grade are null where it isn't prose that counts.
 
-    Null, empty and blank texts, other languages and fewer than ``LEAST_WORDS`` words of prose give a null grade.
+    Null, empty and blank texts, other languages and fewer than ``LEAST_WORDS`` words of prose give a null grade. Repeated
+    rows are graded alike; a key named like a column of the result gets an underscore.
     """
     shared = documents.sparkSession.sparkContext.broadcast(models)
     result = "language string, words int, grade int"
@@ -212,7 +213,8 @@ def reading_levels(documents: DataFrame, models: GradeModels, key: str, text: st
             [pa.array(languages, pa.string()), pa.array(totals, pa.int32()), pa.array(grades, pa.int32())], ["language", "words", "grade"]
         )
 
-    return documents.select(key, graded(F.col(text)).alias("__level")).select(key, "__level.*")
+    rows = documents.select(F.col(key).alias("__key"), graded(F.col(text)).alias("__level"))
+    return rows.select(F.col("__key").alias(own_name(key, ("language", "words", "grade"))), "__level.*")
 
 
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:

@@ -79,12 +79,14 @@ class TermCounts:
     def _merge(self, table: str, schema: str, keys: list[str], delta: DataFrame, touched: list[int]) -> DataFrame:
         """Writes the touched buckets of ``table`` anew; their rows have the counts before and after."""
         kept = self._state[table]
-        paths = sorted({kept[str(b)] for b in touched if str(b) in kept})
+        held: dict[str, list[int]] = {}
+        for b in touched:
+            if str(b) in kept:
+                held.setdefault(kept[str(b)], []).append(b)
         counts = delta.select(*keys, F.col("change").alias("occurrences"), F.lit(0).cast("bigint").alias("before"))
-        if paths:
-            old = self.spark.read.schema(f"{schema}, bucket int").option("basePath", self.path).parquet(*[f"{p}" for p in paths])
-            old = old.where(F.col("bucket").isin(touched)).select(*keys, "occurrences", F.col("occurrences").alias("before"))
-            counts = counts.unionByName(old.where("occurrences <> 0"))
+        for folder, own in sorted(held.items()):  # a folder also has buckets that were written anew elsewhere since
+            old = self.spark.read.schema(f"{schema}, bucket int").parquet(folder).where(F.col("bucket").isin(own))
+            counts = counts.unionByName(old.where("occurrences <> 0").select(*keys, "occurrences", F.col("occurrences").alias("before")))
         merged = counts.groupBy(*keys).agg(F.sum("occurrences").alias("occurrences"), F.sum("before").alias("before"))
         folder = f"{self.path}/{table}-{uuid.uuid4().hex}"
         merged.withColumn("bucket", self._bucket(*keys)).write.partitionBy("bucket").parquet(folder)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tarnwell.tables import read_table
+from tarnwell.tables import own_name, read_table
 
 #: Folder of the vocabulary files; a parameter of every operator here.
 TOKENIZERS = os.environ.get("TARNWELL_TOKENIZERS", "/opt/tokenizers")
@@ -377,8 +377,8 @@ def decode(ids: list[int], vocabulary: dict) -> str:
 
 
 def encoded(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS) -> DataFrame:
-    """``(key, ids)`` of each row."""
-    return df.select(key, token_ids(df.sparkSession, F.col(text), folder).alias("ids"))
+    """``(key, ids)`` of each row; null and empty texts have no ids, repeated rows repeat, a key named ids gets an underscore."""
+    return df.select(F.col(key).alias(own_name(key, ("ids",))), token_ids(df.sparkSession, F.col(text), folder).alias("ids"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
