@@ -128,6 +128,18 @@ def parse_verdicts(text: Column, classes: Sequence[str]) -> Column:
     return F.array(*[one(c) for c in classes])
 
 
+def verdict_on(text: Column, cls: Column) -> Column:
+    """The verdict of a reply on the class in a column, as a struct of class, verdict and confidence; see ``parse_verdicts``."""
+    fields = F.from_json(F.to_json(salvage(text)), "map<string,string>")
+    said = F.try_element_at(fields, F.concat(cls, F.lit("_confidence"))).try_cast("double")
+    sure = F.when(F.isnan(said), 0.0).otherwise(F.coalesce(said, F.lit(0.0)))
+    return F.struct(
+        cls.alias("class"),
+        read_verdict(F.try_element_at(fields, F.concat(cls, F.lit("_verdict")))).alias("verdict"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence"),
+    )
+
+
 def highlights(df: DataFrame, text: str, classes: Sequence[str]) -> Column:
     """What a search shows of a reply: the kinds of each class, sorted by class, then the activities."""
     value = salvage(F.col(text))

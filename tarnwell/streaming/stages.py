@@ -100,16 +100,15 @@ def run_detect(spark: SparkSession, source: str, out: str, rules: RuleSet, make:
 def run_adjudicate(spark: SparkSession, out: str, rules: RuleSet, make: Callable[[], providers.Describer], stopper: Stopper | None = None, files_per_batch: int = 16) -> None:
     """Second opinions on the classes that detection left in doubt: verdicts, and the decisions they lead to."""
     schema = StructType([f for f in read_results(spark, out, "boxes").schema if f.name != "batch"])
-    classes = sorted(rules.required_classes())
 
     def work(batch: DataFrame, number: int) -> None:
         boxes = batch.withColumn("id", F.monotonically_increasing_id()).persist()
         asked = evidence.uncertain_classes(boxes, rules)
         questions = asked.select(F.col("image_id").alias("id"), F.lit(None).cast("string").alias("path"), F.array_join("classes", ",").alias("hint"))
         replies = providers.describe(questions, make)
-        each = replies.select(F.col("id").alias("image_id"), F.explode(semantic.parse_verdicts(F.col("reply"), classes)).alias("v"))
-        asked_for = asked.select("image_id", F.explode("classes").alias("class"))
-        verdicts = each.select("image_id", "v.class", "v.verdict", F.col("v.confidence").alias("verdict_confidence")).join(asked_for, ["image_id", "class"])
+        asked_for = asked.select(F.col("image_id").alias("id"), F.explode("classes").alias("class"))
+        each = replies.where("error is null").join(asked_for, "id").select("id", semantic.verdict_on(F.col("reply"), F.col("class")).alias("v"))
+        verdicts = each.select(F.col("id").alias("image_id"), "v.class", "v.verdict", F.col("v.confidence").alias("verdict_confidence"))
         _write(verdicts, out, "verdicts", number)
         settled = spark.read.parquet(f"{out}/verdicts/batch={number}")
         decisions = evidence.recheck(asked.select("image_id"), boxes, settled, rules)
