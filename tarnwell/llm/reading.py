@@ -2,7 +2,7 @@
 
 The prose of a text is what is left without markup and without lines that hold hardly any function words (header dumps,
 logs, settings, code and listings have none). Its units are its words, rare ones replaced by their length class, and for
-every sentence the class of its length. For each language and grade a unigram model with additive smoothing is trained on
+every sentence its class: how long it is and what share of its words is long. For each language and grade a unigram model with additive smoothing is trained on
 labelled documents; a document gets the grade under whose model and prior its units are most likely. A language without
 labels is graded by the readability formula LIX instead.
 
@@ -35,8 +35,10 @@ FUNCTION_SHARE = 0.08
 #: A word is a unit of its own if so many labelled documents have it.
 LEAST_DOCUMENTS = 5
 SMOOTHING = 0.1
-#: A sentence's length counts like so many words.
-SENTENCE_WEIGHT = 6
+#: A sentence's class counts like so many words.
+SENTENCE_WEIGHT = 10
+#: A word of so many letters is long.
+LONG_WORD = 9
 
 # Frequent function words of the languages that count.
 FUNCTION_WORDS = {
@@ -56,25 +58,37 @@ _FUNCTION = {w: frozenset(words.split()) for w, words in FUNCTION_WORDS.items()}
 _ANY_FUNCTION = frozenset().union(*_FUNCTION.values())
 
 
+#: Words and sentences longer than this are classed like those of this length; sentences have a class for every four
+#: words and every fifth of long words.
+LONGEST, LONGEST_SENTENCE, FIFTHS = 24, 60, 5
+
+
+def sentence_class(words: list[str]) -> int:
+    """The class of a sentence, from its number of words and the share of long ones."""
+    n = len(words)
+    long = sum(map((LONG_WORD - 1).__lt__, map(len, words)))
+    return min(n, LONGEST_SENTENCE) // 4 * (FIFTHS + 1) + round(FIFTHS * long / n)
+
+
 def prose(text: str) -> tuple[list[str], list[int]]:
-    """The words of a text's lines of prose, in lower case and without markup, and the length of each of their sentences."""
+    """The words of a text's lines of prose, in lower case and without markup, and the class of each of their sentences."""
     known, find, split = _ANY_FUNCTION.__contains__, _WORD.findall, _SENTENCE_END.split
     kept: list[str] = []
-    lengths: list[int] = []
+    classes: list[int] = []
     text = text.lower()
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
     for line in _LINE_END.split(text):
-        sentences = [find(s) for s in split(line)]
+        sentences = [x for s in split(line) if (x := find(s))]
         words = sentences[0] if len(sentences) == 1 else list(chain.from_iterable(sentences))
         if len(words) > 1 and sum(map(known, words)) >= FUNCTION_SHARE * len(words):
             kept += words
-            lengths += map(len, sentences)
-    return kept, lengths
+            classes += map(sentence_class, sentences)
+    return kept, classes
 
 
 def units(text: str | None) -> tuple[str | None, Counter, Counter]:
-    """A text's language (None if it is none that counts), its prose words and its sentence lengths, both counted."""
+    """A text's language (None if it is none that counts), its prose words and its sentences' classes, both counted."""
     if not text:
         return None, Counter(), Counter()
     found, sentences = prose(text)
@@ -85,9 +99,7 @@ def units(text: str | None) -> tuple[str | None, Counter, Counter]:
     language = max(shares, key=shares.get)
     if shares[language] < FUNCTION_SHARE * total:
         return None, words, Counter()
-    lengths = Counter(sentences)
-    lengths.pop(0, None)
-    return language, words, lengths
+    return language, words, Counter(sentences)
 
 
 def lix_grade(words: Counter, lengths: Counter) -> int:
@@ -97,20 +109,12 @@ def lix_grade(words: Counter, lengths: Counter) -> int:
     return 1 + sum(lix >= bound for bound in LIX_BOUNDS)
 
 
-#: Words and sentences longer than this are classed like those of this length.
-LONGEST, LONGEST_SENTENCE = 24, 60
-
-
 def _length_class(letters: int) -> str:
     return f"#{min(letters, LONGEST) // 3}"
 
 
-def _sentence_class(words: int) -> str:
-    return f"§{min(words, LONGEST_SENTENCE) // 4}"
-
-
 LENGTH_CLASSES = sorted({_length_class(n) for n in range(LONGEST + 1)})
-SENTENCE_CLASSES = sorted({_sentence_class(n) for n in range(LONGEST_SENTENCE + 1)})
+SENTENCE_CLASSES = [f"§{c}" for c in range((LONGEST_SENTENCE // 4 + 1) * (FIFTHS + 1))]
 
 
 class GradeModels:
@@ -128,7 +132,7 @@ class GradeModels:
                 matrix[row, column] += weight
             prior = np.array([priors[(language, g)] for g in grades])
             rare = np.array([rows[_length_class(n)] for n in range(LONGEST + 1)])
-            sentence = np.array([rows[_sentence_class(n)] for n in range(LONGEST_SENTENCE + 1)])
+            sentence = np.array([rows[c] for c in SENTENCE_CLASSES])
             self.languages[language] = (rows, np.log(matrix / matrix.sum(axis=0)), np.log(prior / prior.sum()), rare, sentence, grades)
 
     def grade(self, language: str, words: Counter, lengths: Counter) -> int:
@@ -139,7 +143,7 @@ class GradeModels:
         rows, matrix, prior, rare, sentence, grades = known
         at = [rows.get(w, -1) for w in words]
         at = [rare[min(len(w), LONGEST)] if r < 0 else r for r, w in zip(at, words)]
-        at += [sentence[min(n, LONGEST_SENTENCE)] for n in lengths]
+        at += [sentence[c] for c in lengths]
         weight = np.array([*words.values(), *(n * SENTENCE_WEIGHT for n in lengths.values())], float)
         return grades[int(np.argmax(prior + weight @ matrix[at]))]
 
@@ -178,8 +182,7 @@ def fit(documents: DataFrame, labels: DataFrame, key: str, text: str, grade: str
     length_class = F.concat(F.lit("#"), F.floor(F.least(F.length("unit"), F.lit(LONGEST)) / 3).cast("string"))
     named = words.join(often, "unit", "left").withColumn("unit", F.when(F.col("documents").isNull(), length_class).otherwise(F.col("unit")))
     lengths = graded.select("language", "grade", "share", F.explode("lengths").alias("length", "n"))
-    sentence_class = F.concat(F.lit("§"), F.floor(F.least("length", F.lit(LONGEST_SENTENCE)) / 4).cast("string"))
-    lengths = lengths.select("language", "grade", "share", sentence_class.alias("unit"), (F.col("n") * SENTENCE_WEIGHT).alias("n"))
+    lengths = lengths.select("language", "grade", "share", F.concat(F.lit("§"), F.col("length").cast("string")).alias("unit"), (F.col("n") * SENTENCE_WEIGHT).alias("n"))
     units_of = named.select("language", "grade", "share", "unit", "n").unionByName(lengths)
     counts = units_of.groupBy("language", "grade", "unit").agg(F.sum(F.col("n") * F.col("share")).alias("weight"))
     priors = graded.groupBy("language", "grade").agg(F.sum("share").alias("share"))
