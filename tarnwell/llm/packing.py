@@ -62,9 +62,11 @@ def containers(items: DataFrame, key: str, length: str, capacity: int = CAPACITY
     rows are items of their own, a null key is a key, and a key named like a column of the result gets an underscore.
     """
     spark = items.sparkSession
-    sized = items.where(F.col(length) > 0).select(F.col(key).alias("key"), F.col(length).cast("bigint").alias("n"))
+    # No filter on the length: pushed below its projection, it would compute the length twice. Null explodes to no row.
+    sized = items.select(F.col(key).alias("key"), F.col(length).cast("bigint").alias("n"))
     last = F.expr(f"(n - 1) div {capacity}")
-    parts = sized.select("key", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part_no"))
+    numbers = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("bigint"), last))
+    parts = sized.select("key", "n", F.explode(numbers).alias("part_no"))
     parts = parts.select("key", "part_no", F.least(F.lit(capacity), F.col("n") - F.col("part_no") * capacity).alias("part"))
     parts = materialize(parts, "parts")
     histogram = {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()}  # at most ``capacity`` rows
