@@ -26,8 +26,8 @@ STATES = {
     "kind_object": (None, None, None),
     "kind_name": (None, None, None),
 }
-#: Keys by which an object is known as a reply, compared without letter case.
-REPLY_KEYS = frozenset(["frames", "activities", "environment", "is_main_subject", "quality"])
+#: Keys of a reply besides its frames, compared without letter case; a wrapper may have one of these by chance, not two.
+REPLY_KEYS = frozenset(["activities", "environment", "is_main_subject", "quality", "notes"])
 #: How deep wrappers (objects, lists, texts in texts) are searched for the reply.
 MAX_WRAPPERS = 64
 
@@ -57,12 +57,17 @@ def _objects(text: str) -> Iterator[dict]:
         at = text.find("{", end)
 
 
+def _is_reply(value: dict) -> bool:
+    names = {k.lower() for k in value}
+    return "frames" in names or sum(n in REPLY_KEYS or n.endswith(("_count", "_kinds")) for n in names) > 1
+
+
 def find_reply(value: object, depth: int = 0) -> dict | None:
-    """The reply within a decoded value: an object that has a key of a reply, looked for in wrappers and texts."""
+    """The reply within a decoded value: an object with frames or several keys of a reply, in wrappers and texts."""
     if depth > MAX_WRAPPERS:
         return None
     if isinstance(value, dict):
-        if any(k.lower() in REPLY_KEYS for k in value):
+        if _is_reply(value):
             return value
         inner = value.values()
     elif isinstance(value, list):

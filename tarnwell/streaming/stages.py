@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from tarnwell.operators import evidence, reporting, semantic
 from tarnwell.plans.rules import RuleSet
 from tarnwell.schema import TABLES
+from tarnwell.session import drop_table, materialize
 from tarnwell.sources import providers
 
 #: What is recorded as the model of a video that nothing looked into.
@@ -52,7 +53,7 @@ def detected_batch(images: DataFrame, rules: RuleSet, make: Callable[[], provide
     """
     waiting = images.where(reporting.pending("detect")).withColumn("is_video", evidence.is_video(F.col("path")))
     seen = waiting.where("not is_video") if not look_into_videos else waiting
-    found = providers.detect(seen, make).join(waiting.select("id", "is_video"), "id").persist()
+    found = materialize(providers.detect(seen, make).join(waiting.select("id", "is_video"), "id"), "found")  # infer once
     unread = waiting.join(found.select("id"), "id", "left_anti").select("id", "path", F.lit(True).alias("is_video"))
     errors = found.where("boxes is null and not is_video").select("id", F.col("error").alias("message"))
     real = found.where("boxes is not null").select(F.col("id").alias("image_id"), "model", F.explode("boxes").alias("b")).select("image_id", "b.*", "model")
@@ -102,7 +103,7 @@ def run_adjudicate(spark: SparkSession, out: str, rules: RuleSet, make: Callable
     schema = StructType([f for f in read_results(spark, out, "boxes").schema if f.name != "batch"])
 
     def work(batch: DataFrame, number: int) -> None:
-        boxes = batch.withColumn("id", F.monotonically_increasing_id()).persist()
+        boxes = materialize(batch.withColumn("id", F.monotonically_increasing_id()), "boxes")
         asked = evidence.uncertain_classes(boxes, rules)
         questions = asked.select(F.col("image_id").alias("id"), F.lit(None).cast("string").alias("path"), F.array_join("classes", ",").alias("hint"))
         replies = providers.describe(questions, make)
@@ -113,7 +114,7 @@ def run_adjudicate(spark: SparkSession, out: str, rules: RuleSet, make: Callable
         settled = spark.read.parquet(f"{out}/verdicts/batch={number}")
         decisions = evidence.recheck(asked.select("image_id"), boxes, settled, rules)
         _write(decisions, out, "rechecked", number)
-        boxes.unpersist()
+        drop_table(boxes)
 
     run_stage(spark, f"{out}/boxes/*", schema, f"{out}/checkpoints/adjudicate", work, stopper, files_per_batch)
 

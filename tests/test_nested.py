@@ -17,7 +17,7 @@ def nodes(text):
 
 @pytest.mark.parametrize("text", [
     PLAIN, json.dumps({"frames": FRAME}), json.dumps({"FRAMES": [FRAME], "quality": 3}), "﻿" + PLAIN, "```json\n" + PLAIN + "\n```", "I see {this}: " + PLAIN + " -- end",
-    json.dumps({"data": {"reply": {"frames": [FRAME]}}}), json.dumps({"response": PLAIN}), json.dumps(PLAIN), json.dumps({"message": {"content": "Sure. " + PLAIN}}),
+    json.dumps({"data": {"reply": {"frames": [FRAME]}}}), json.dumps({"quality": "high", "result": {"frames": [FRAME]}}), json.dumps({"response": PLAIN}), json.dumps(PLAIN), json.dumps({"message": {"content": "Sure. " + PLAIN}}),
     json.dumps([{"x": 1}, {"frames": [FRAME]}]), '{"a": NaN, "result": ' + PLAIN + "}", '{"result": ' + PLAIN,
 ])
 def test_wrappings(text):
@@ -25,7 +25,7 @@ def test_wrappings(text):
 
 
 @pytest.mark.parametrize("text", [
-    None, "", "  ", "I cannot see", "null", "[]", "{", PLAIN[:-1], PLAIN.replace('"', "'"), json.dumps({"frames": None}), json.dumps({"quality": 1}),
+    None, "", "  ", "I cannot see", "null", "[]", "{", PLAIN[:-1], PLAIN.replace('"', "'"), json.dumps({"frames": None}), json.dumps({"quality": 1}), json.dumps({"cat_count": 1, "cat_kinds": [], "x": {"frames": [FRAME]}}),
     PLAIN.replace("0.5", "NaN"), json.dumps({"frames": [None, 3, "x"]}), "[" * 5000 + "]" * 5000, '{"a":' * 3000,
 ])
 def test_nothing(text):
