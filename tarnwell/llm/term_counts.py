@@ -46,32 +46,40 @@ class TermCounts:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16) -> None:
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self._manifest = f"{self.path}/manifest.json"
         self._state = self._load()
 
-    # The manifest names the folder that holds each bucket; it is replaced as a whole, so a failed update changes nothing.
-    def _file(self):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self._manifest)
+    # A manifest names the folder that holds each bucket. Each update adds one under the next number, renamed into place
+    # as a whole, so a failed update changes nothing; the one with the greatest number holds.
+    def _fs(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def _load(self) -> dict:
-        fs, where = self._file()
-        if not fs.exists(where):
-            return {"buckets": self.buckets, "postings": {}, "members": {}, "terms": None, "fields": None}
-        state = json.loads("\n".join(r[0] for r in self.spark.read.text(self._manifest).collect()))
+        fs, where = self._fs(f"{self.path}/manifest-*.json")
+        found = sorted(int(f.getPath().getName()[9:-5]) for f in (fs.globStatus(where) or []))
+        if not found:
+            return {"number": 0, "buckets": self.buckets, "postings": {}, "members": {}, "terms": None, "fields": None}
+        lines = self.spark.read.text(f"{self.path}/manifest-{found[-1]}.json").collect()
+        state = json.loads("\n".join(r[0] for r in lines))
         self.buckets = state["buckets"]
         return state
 
     def _save(self, state: dict) -> None:
-        fs, where = self._file()
-        fresh = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._manifest}.{uuid.uuid4().hex}")
+        state["number"] += 1
+        fs, fresh = self._fs(f"{self.path}/new-{uuid.uuid4().hex}")
         out = fs.create(fresh, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        fs.delete(where, False)
-        fs.rename(fresh, where)
+        if not fs.rename(fresh, self._fs(f"{self.path}/manifest-{state['number']}.json")[1]):
+            raise RuntimeError(f"update {state['number']} was made by someone else meanwhile")
+        unused = self._folders(self._state) - self._folders(state)
         self._state = state
+        for folder in unused:
+            fs.delete(self._fs(folder)[1], True)
+
+    @staticmethod
+    def _folders(state: dict) -> set[str]:
+        return {*state["postings"].values(), *state["members"].values(), state["terms"], state["fields"]} - {None}
 
     def _bucket(self, *columns: str) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int")
@@ -139,6 +147,8 @@ class TermCounts:
             fields = rows.groupBy("field").agg(F.sum(step).alias("images"))
             self._totals("fields", FIELDS, ["field"], fields, ["images"])
         self._save(state)
+        fs, where = self._fs(folder)
+        fs.delete(where, True)
 
     def terms(self) -> DataFrame:
         """``field, term, occurrences, images`` of every term; empty before the first update."""
