@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from tarnwell.index import bare
 from tarnwell.index import verdict as read_verdict
 
 #: Fields that every reply has, whatever classes it was asked about, with their types.
@@ -70,13 +71,13 @@ def as_texts(value: Column, field: str) -> Column:
     """A field as a list of trimmed texts without blanks; one text is a list of one, anything else an empty list."""
     kind = F.schema_of_variant(F.try_variant_get(value, f"$['{field}']", "variant"))
     items = F.when(F.startswith(kind, F.lit("ARRAY")), _get(value, field, "array<string>")).when(kind == "STRING", F.array(_get(value, field, "string")))
-    return F.coalesce(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(items, bare), lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def as_text(value: Column, field: str) -> Column:
     """A field as a trimmed text; null and what is false give an empty one."""
     kind = F.schema_of_variant(F.try_variant_get(value, f"$['{field}']", "variant"))
-    return F.when(truth(value, field), F.trim(F.coalesce(_get(value, field, "string"), F.lit("")))).otherwise(F.when(kind == "STRING", F.trim(_get(value, field, "string"))).otherwise(""))
+    return F.when(truth(value, field), bare(F.coalesce(_get(value, field, "string"), F.lit("")))).otherwise(F.when(kind == "STRING", bare(_get(value, field, "string"))).otherwise(""))
 
 
 def truth(value: Column, field: str) -> Column:

@@ -69,6 +69,37 @@ p AS (
 plan AS (SELECT * FROM p WHERE NOT (action = 'move' AND target = source))"""
 
 _META = "m AS (SELECT image_id, json FROM metadata WHERE image_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY created_at DESC) = 1)"
+# The object of a reply, and its fields in the agreed shape.
+_REPLY = f"""{_META}, w AS (SELECT image_id, CASE WHEN json_valid(trim(json)) THEN trim(json) ELSE regexp_extract(json, '(?s)\\{{.*\\}}', 0) END AS t FROM m),
+o AS (SELECT image_id, t::JSON AS j FROM w WHERE json_valid(t) AND json_type(t) = 'OBJECT')"""
+
+
+def _texts(field: str) -> str:
+    bare = _TRIM.format("x")
+    several = f"list_filter(list_transform(CAST(j->'$.{field}' AS VARCHAR[]), lambda x: {bare}), lambda x: x <> '')"
+    one = f"list_filter([{_TRIM.format(f'(j->>{chr(39)}$.{field}{chr(39)})')}], lambda x: x <> '')"
+    return f"CASE json_type(j, '$.{field}') WHEN 'ARRAY' THEN {several} WHEN 'VARCHAR' THEN {one} ELSE [] END"
+
+
+def _int(field: str) -> str:
+    text = f"(j->>'$.{field}')"
+    return f"CASE json_type(j, '$.{field}') WHEN 'BOOLEAN' THEN ({text} = 'true')::INT ELSE coalesce(trunc(TRY_CAST({text} AS DOUBLE))::INT, 0) END"
+
+
+def _plain(field: str) -> str:
+    return f"CASE WHEN json_type(j, '$.{field}') = 'VARCHAR' THEN {_TRIM.format(f'(j->>{chr(39)}$.{field}{chr(39)})')} ELSE '' END"
+
+
+def _shown(field: str) -> str:
+    return f"array_to_string({_texts(field)}, ', ')"
+
+
+_COERCED = ", ".join(
+    [f"{_int(f'{c}_count')} AS {c}_count, array_to_string({_texts(f'{c}_kinds')}, '|') AS {c}_kinds" for c in ("bird", "cat", "dog")]
+    + [f"array_to_string({_texts('activities')}, '|') AS activities", f"{_plain('environment')} AS environment", f"{_plain('notes')} AS notes"]
+    + [f"greatest(0, least(10, {_int('quality')})) AS quality"]
+    + ["CASE json_type(j, '$.is_main_subject') WHEN 'BOOLEAN' THEN (j->>'$.is_main_subject') = 'true' WHEN 'VARCHAR' THEN (j->>'$.is_main_subject') <> '' ELSE false END AS is_main_subject"]
+)
 _BITS = "h AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings)"
 _FAR = "list_sum(list_transform(list_zip(a.s, b.s), lambda z: (z[1] <> z[2])::INT))"
 _NEAR = f"{_BITS}, pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, {_FAR} AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE {_FAR} <= 18)"
@@ -135,6 +166,10 @@ ORACLES = {
     "dry_run_counts": f"{_STEPS} SELECT action, count(*) AS n FROM plan GROUP BY action",
     "prune_links": f"{_STEPS} SELECT image_id, target || '.old' AS link_path FROM plan WHERE action = 'copy' AND image_id % 5 = 0",
     "search_metadata": f"WITH {_I}, {_META} SELECT i.id, path, category FROM m JOIN i ON i.id = m.image_id WHERE missing = 0 AND lower(json) LIKE '%kitchen%'",
+    "coerce_reply": f"WITH {_REPLY} SELECT image_id, {_COERCED} FROM o",
+    "json_highlights": f"""WITH {_REPLY}, k AS (SELECT image_id, list_filter([CASE WHEN len({_texts('cat_kinds')}) > 0 THEN 'cat: ' || {_shown('cat_kinds')} END,
+        CASE WHEN len({_texts('dog_kinds')}) > 0 THEN 'dog: ' || {_shown('dog_kinds')} END, CASE WHEN len({_texts('activities')}) > 0 THEN {_shown('activities')} END],
+        lambda x: x IS NOT NULL) AS l FROM o) SELECT m.image_id, coalesce(array_to_string(l, '; '), '') AS highlights FROM m LEFT JOIN k USING (image_id)""",
     "parse_verdict": f"""WITH x AS (SELECT DISTINCT ON (id) * FROM adjudications)
         SELECT id, 'cat' AS class, {_SAID.format('verdict')} AS verdict, greatest(0, least(1, coalesce(confidence, 0))) AS confidence FROM x""",
     "history": f"WITH {_I} SELECT event_id AS id, event_type AS action, props::VARCHAR AS detail, path FROM events JOIN i ON i.id = user_id ORDER BY event_id DESC LIMIT 30",

@@ -21,12 +21,12 @@ def python_coerce(data, classes):
 
     def texts(v):
         v = [v] if isinstance(v, str) else v
-        return [t for x in v if (t := (x if isinstance(x, str) else json.dumps(x)).strip(" "))] if isinstance(v, list) else []
+        return [t for x in v if (t := (x if isinstance(x, str) else json.dumps(x)).strip())] if isinstance(v, list) else []
 
     out = {}
     for c in classes:
         out[f"{c}_count"], out[f"{c}_kinds"] = whole(data.get(f"{c}_count")), texts(data.get(f"{c}_kinds"))
-    plain = lambda v: v.strip(" ") if isinstance(v, str) else ""
+    plain = lambda v: v.strip() if isinstance(v, str) else ""
     return out | {"activities": texts(data.get("activities")), "environment": plain(data.get("environment")), "is_main_subject": bool(data.get("is_main_subject")),
                   "quality": max(0, min(10, whole(data.get("quality")))), "notes": plain(data.get("notes"))}
 
@@ -37,7 +37,7 @@ def coerced(spark, texts, classes=("cat",)):
 
 
 DATA = [
-    {}, {"cat_count": "3", "cat_kinds": "tabby", "quality": 42}, {"cat_count": 2.9, "cat_kinds": [" a ", "", "b"], "is_main_subject": "false"}, {"cat_count": None, "activities": None, "quality": -3},
+    {}, {"cat_count": "3", "cat_kinds": "tabby", "quality": 42}, {"cat_count": 2.9, "cat_kinds": [" a\t", "", "b"], "is_main_subject": "false"}, {"cat_count": None, "activities": None, "quality": -3},
     {"cat_count": True, "is_main_subject": 0, "environment": "  beach "}, {"is_main_subject": [], "notes": "x"}, {"is_main_subject": {"a": 1}, "cat_kinds": 5}, {"is_main_subject": "", "quality": "7.9"}, {"cat_count": "many"},
 ]
 
