@@ -46,6 +46,14 @@ c AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT image_id) AS i
 n AS (SELECT field, count(DISTINCT image_id) AS total FROM r GROUP BY field)
 """
 
+_HASHES = f"""raw AS (
+    SELECT id, regexp_replace(lower(phash), '\\s', '', 'g') AS t FROM {_CURRENT} WHERE missing = 0 AND deleted = 0
+),
+digits AS (
+    SELECT id, regexp_replace(CASE WHEN regexp_matches(t, '^[0-9a-f]{{2}}:') THEN t ELSE regexp_replace(t, '^([a-z]+[:=])?(0x)?', '') END, '[:_-]', '', 'g') AS d FROM raw
+),
+h AS (SELECT id, CAST('0x' || d AS UBIGINT) AS bits FROM digits WHERE regexp_matches(d, '^[0-9a-f]{{1,16}}$'))"""
+
 ORACLES = {
     "p1_counts": f"WITH {_COUNTS} SELECT * FROM c",
     "p1_found": f"""WITH {_COUNTS}
@@ -59,13 +67,7 @@ p AS (SELECT x.term AS class_a, y.term AS class_b, count(*) AS k FROM o x JOIN o
 SELECT class_a, class_b FROM p JOIN m a ON a.term = class_a JOIN m b2 ON b2.term = class_b, n
 WHERE p.k >= 5 AND 1000 * p.k >= total AND p.k * total >= 3 * a.k * b2.k""",
     "p4_found": f"""
-WITH RECURSIVE raw AS (
-    SELECT id, regexp_replace(lower(phash), '\\s', '', 'g') AS t FROM {_CURRENT} WHERE missing = 0 AND deleted = 0
-),
-digits AS (
-    SELECT id, regexp_replace(CASE WHEN regexp_matches(t, '^[0-9a-f]{{2}}:') THEN t ELSE regexp_replace(t, '^([a-z]+[:=])?(0x)?', '') END, '[:_-]', '', 'g') AS d FROM raw
-),
-h AS (SELECT id, CAST('0x' || d AS UBIGINT) AS bits FROM digits WHERE regexp_matches(d, '^[0-9a-f]{{1,16}}$')),
+WITH RECURSIVE {_HASHES},
 link AS (
     SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id < b.id AND bit_count(xor(a.bits, b.bits)) <= 3
     WHERE NOT EXISTS (
@@ -75,6 +77,9 @@ link AS (
 edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach(a, b) AS (SELECT a, a FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a)
 SELECT min(b) AS group_id, a AS image_id FROM reach GROUP BY a""",
+    "p4_links": f"""
+WITH {_HASHES}, d AS (SELECT DISTINCT bits, CASE WHEN bits >= 9223372036854775808 THEN (bits::HUGEINT - 18446744073709551616)::BIGINT ELSE bits::BIGINT END AS s FROM h)
+SELECT a.s AS hash_a, b.s AS hash_b, bit_count(xor(a.bits, b.bits))::INT AS bits FROM d a JOIN d b ON a.s < b.s AND bit_count(xor(a.bits, b.bits)) <= 3""",
     "p6_found": f"""
 WITH live AS (
     SELECT c.*, r.trust, regexp_extract(regexp_replace(lower(hash), '\\s', '', 'g'), '^(?:sha256:)?([0-9a-f]{{64}})$', 1) AS h,
