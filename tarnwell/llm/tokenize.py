@@ -36,8 +36,8 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{
 
 #: A worker forgets the words it knows beyond so many words or tokens; they are encoded again when they come again.
 KNOWN_WORDS, KNOWN_TOKENS = 300_000, 4_000_000
-#: Bytes of new words in one recursive query.
-QUERY_BYTES = 250_000
+#: Bytes of new words in one recursive query; fewer where words are long, for a query keeps the rows of all its steps.
+QUERY_BYTES, LONG_QUERY_BYTES = 250_000, 50_000
 
 # Memory and threads of DuckDB within a Python worker; it must not spill to a local disk.
 _SETTINGS = "SET memory_limit='400MB'; SET threads=1; SET temp_directory=''; SET preserve_insertion_order=false"
@@ -45,7 +45,7 @@ _SETTINGS = "SET memory_limit='400MB'; SET threads=1; SET temp_directory=''; SET
 #: Pieces up to so many bytes are encoded together by one rank a step; longer ones by all ranks that are safe.
 SHORT_BYTES = 64
 #: Pieces beyond so many bytes are contracted by the same steps on an array, for DuckDB's windows would outgrow its share.
-LONG_BYTES = 100_000
+LONG_BYTES = 4_000
 
 # A step: where every word has its pair of least rank, and with {safe} also where no neighbour can be merged with either
 # half at a lower rank, whatever it grows to. Of occurrences that overlap (a run of one token) every second is taken.
@@ -116,11 +116,12 @@ def load_vocabulary(path: str) -> dict:
     return {"base": base, "merges": merges, "side_by_side": side_by_side}
 
 
-def _neighbours(merges: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """For a token and its neighbour, the least rank at which what the neighbour may grow to merges with the token.
+def _neighbours(merges: np.ndarray) -> tuple[list, list, list]:
+    """For a token and its neighbour, the least rank at which what they may grow to merges, as three lists of rows.
 
-    The first list has (neighbour before, token, rank), the second (token, neighbour after, rank). Every token has one
-    pair it is merged from, so what may become a token's last part is the chain of its right halves.
+    In (neighbour before, token, rank) only the neighbour grows, in (token, neighbour after, rank) too; in (left, right,
+    rank) both do, so no merge ever crosses a place whose two tokens aren't listed. Every token has one pair that it is
+    merged from, so what may become its last part is the chain of its right halves, its first part that of its left ones.
     """
     halves = {int(c): (int(a), int(b)) for a, b, c in merges}
 
@@ -132,12 +133,15 @@ def _neighbours(merges: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tu
 
     before: dict[tuple[int, int], int] = {}
     after: dict[tuple[int, int], int] = {}
+    across: dict[tuple[int, int], int] = {}
     for a, b, c in merges.tolist():  # by rank, so the first is the least
         for s in chain(a, 1):
             before.setdefault((s, b), c)
         for s in chain(b, 0):
             after.setdefault((a, s), c)
-    return [(s, t, c) for (s, t), c in before.items()], [(t, s, c) for (t, s), c in after.items()]
+            for t in chain(a, 1):
+                across.setdefault((t, s), c)
+    return tuple([(x, y, c) for (x, y), c in pairs.items()] for pairs in (before, after, across))
 
 
 #: Stands for no rank.
@@ -178,13 +182,13 @@ class Encoder:
 
     def _prepare_long(self) -> None:
         if not self._long_ready:
-            before, after = _neighbours(self._merges)
+            before, after, across = _neighbours(self._merges)
             for name, columns, rows in (("left_of", ("s", "t", "least"), before), ("right_of", ("t", "s", "least"), after)):
                 given = pa.table({c: pa.array(x, pa.int32()) for c, x in zip(columns, zip(*rows))})
                 self._db.register("given", given)
                 self._db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
                 self._db.unregister("given")
-            self._rank, self._before, self._after = _lookup(self._merges), _lookup(before), _lookup(after)
+            self._rank, self._before, self._after, self._across = map(_lookup, (self._merges, before, after, across))
             self._long_ready = True
 
     def _forget(self) -> None:
@@ -207,17 +211,22 @@ class Encoder:
         return [values[x:y] for x, y in zip(offsets, offsets[1:])]
 
     def _contract_array(self, piece: bytes) -> np.ndarray:
-        """The same steps on an array, for words whose window would not fit into DuckDB's share of memory."""
+        """The same steps on an array, for words whose rows would not fit into DuckDB's share of memory.
+
+        The least rank is sought between places that no merge can cross, as words are cut before their first step.
+        """
         token = self._base[np.frombuffer(piece, np.uint8)]
         while len(token) > 1:
             rank = self._rank(token[:-1], token[1:])
-            best = rank.min()
-            if best == _NONE:
+            starts = np.concatenate([[0], np.nonzero(self._across(token[:-1], token[1:]) == _NONE)[0]])
+            starts = np.unique(starts)
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(rank))))
+            if best.min() == _NONE:
                 break
             left, right = np.full(len(rank), _NONE), np.full(len(rank), _NONE)
             left[1:] = self._before(token[:-2], token[1:-1])
             right[:-1] = self._after(token[1:-1], token[2:])
-            hit = rank == best
+            hit = (rank == best) & (rank < _NONE)
             first = np.maximum.accumulate(np.where(hit & ~np.concatenate([[False], hit[:-1]]), np.arange(len(hit)), 0))
             chosen = ((rank < left) & (rank < right) & (rank < _NONE)) | (hit & ((np.arange(len(hit)) - first) % 2 == 0))
             gone = np.concatenate([[False], chosen])
@@ -231,11 +240,11 @@ class Encoder:
         middle = [i for i, p in enumerate(pieces) if SHORT_BYTES < len(p) <= LONG_BYTES]
         if len(short) < len(pieces):
             self._prepare_long()
-        for chosen, parts in ((short, _PLAIN), (middle, _SAFE)):
+        for chosen, parts, most in ((short, _PLAIN, QUERY_BYTES), (middle, _SAFE, LONG_QUERY_BYTES)):
             at = 0
             while at < len(chosen):
                 end, size = at, 0
-                while end < len(chosen) and (size == 0 or size + len(pieces[chosen[end]]) <= QUERY_BYTES):
+                while end < len(chosen) and (size == 0 or size + len(pieces[chosen[end]]) <= most):
                     size += len(pieces[chosen[end]])
                     end += 1
                 for i, ids in zip(chosen[at:end], self._query([pieces[i] for i in chosen[at:end]], parts)):
