@@ -128,6 +128,17 @@ def sampled_frames(total: Column, count: int) -> Column:
     )
 
 
+def walked_frames(fps: Column, read: Column, count: int, limit: int = 900) -> Column:
+    """The frames that stand for a video of unknown length: about one a second of the first ``limit`` that could be read.
+
+    ``fps`` null or 0 counts as 25; each second is represented by its middle frame, and ``count`` frames are enough.
+    """
+    stride = F.coalesce(F.when(fps >= 1, F.floor(fps)), F.lit(25)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(limit - 1))
+    kept = F.filter(every, lambda i: (i % stride == F.floor(stride / 2)) & (i < F.coalesce(read, F.lit(0))))
+    return F.slice(kept, 1, count)
+
+
 def hints(boxes: DataFrame, rules: RuleSet) -> DataFrame:
     """``image_id, hint``: the settled boxes of each image as ``class (NN%)``, most confident first; images without are left out.
 

@@ -145,6 +145,11 @@ def existing_links(links: DataFrame, plan: DataFrame) -> DataFrame:
     return _tracked(plan).join(links.select("link_path", "image_id"), ["link_path", "image_id"], "left_semi")
 
 
+def links_of_root(links: DataFrame, images: DataFrame, root: str) -> DataFrame:
+    """Recorded outputs of the images of one root."""
+    return links.join(images.where(F.col("root") == root).select(F.col("id").alias("image_id")), "image_id", "left_semi").select(*links.columns)
+
+
 def record_links(links: DataFrame, made: DataFrame) -> DataFrame:
     """Recorded outputs with new ones (link_path, image_id and more); the new one holds where a path is known."""
     kept = links.join(made.select("link_path").distinct(), "link_path", "left_anti").select(*links.columns)

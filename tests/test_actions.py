@@ -60,6 +60,7 @@ def test_links(spark):
     got = {r["image_id"]: r["outcome"] for r in actions.outcomes(steps, links, present).collect()}
     assert got == {1: "existing", 2: "skipped", 3: "done"}
     assert tuple(actions.verify(links, rows, present).head()) == (1, 2, 1)
+    assert actions.links_of_root(links, rows, "/l").count() == 2 and actions.links_of_root(links, rows, "/m").count() == 0
     made = spark.createDataFrame([("/out/Cat/2.jpg", 2)], "link_path string, image_id long")
     assert {tuple(r) for r in actions.record_links(links, made).collect()} == {("/out/Cat/1.jpg", 1), ("/out/Cat/2.jpg", 2), ("/out/old.jpg", 1)}
 

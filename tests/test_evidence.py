@@ -49,6 +49,12 @@ def test_videos_and_samples(spark):
     assert [r["f"] for r in totals.collect()] == [[12, 37, 62, 87], [0, 1, 1], [], []]
 
 
+def test_walked_frames(spark):
+    df = spark.createDataFrame([(10.5, 35), (None, 100), (0.0, 30), (25.0, None)], "fps double, read int")
+    got = df.select(evidence.walked_frames(F.col("fps"), F.col("read"), 3).alias("f")).collect()
+    assert [r["f"] for r in got] == [[5, 15, 25], [12, 37, 62], [12], []]
+
+
 def test_hints_round_like_exact_values(spark):
     boxes = spark.createDataFrame([(1, 1, "cat", 0.825), (2, 1, "dog", 0.995), (3, 1, "cat", 0.1), (4, 2, "cat", 0.2)], BOXES)
     assert {r["image_id"]: r["hint"] for r in evidence.hints(boxes, RULES).collect()} == {1: f"dog ({0.995:.0%}), cat ({0.825:.0%})"}

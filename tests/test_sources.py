@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tarnwell.errors import RuleError
 from tarnwell.operators import evidence, export
 from tarnwell.plans.rules import starter
-from tarnwell.sources import files, providers, settings
+from tarnwell.sources import effects, files, providers, settings
 from tarnwell.streaming import stages
 from test_scan_state import images
 
@@ -127,3 +127,16 @@ def test_runs_stop(spark):
     with pytest.raises(ZeroDivisionError):
         stages.run_all([lambda: 1 / 0], stopper)
     assert stopper.stopped and stages.run_all([lambda: done.append(9)], stopper) == [] and 9 not in done
+
+
+def test_carrying_out_a_plan(spark, library):
+    out = library + "/made"
+    steps = [(1, 0, "copy", library + "/a.jpg", out + "/Review/a.jpg"), (1, 1, "move", library + "/a.jpg", out + "/Cat/a.jpg"), (2, 1, "move", library + "/b.JPG", out + "/Cat/taken.jpg"), (3, 1, "copy", library + "/none.jpg", out + "/x.jpg")]
+    os.makedirs(out + "/Cat")
+    open(out + "/Cat/taken.jpg", "w").close()
+    assert effects.unwritable(out) is None and effects.unwritable(library + "/a.jpg/x")
+    plan = spark.createDataFrame(steps, "image_id long, seq int, action string, source string, target string")
+    got = {(r["image_id"], r["action"]): (r["target"], r["outcome"]) for r in effects.execute(plan).collect()}
+    assert got == {(1, "copy"): (out + "/Review/a.jpg", "created"), (1, "move"): (out + "/Cat/a.jpg", "done"), (2, "move"): (out + "/Cat/taken_2.jpg", "done"), (3, "copy"): (out + "/x.jpg", "skipped")}
+    assert os.path.exists(out + "/Cat/a.jpg") and os.path.exists(out + "/Review/a.jpg") and not os.path.exists(library + "/a.jpg")
+    assert effects.remove_file(out + "/Review/a.jpg") and not effects.remove_file(out + "/Review/a.jpg") and effects.prune_empty_folders(out) == 1
