@@ -116,7 +116,7 @@ def plan_actions(images: DataFrame, rules: RuleSet, place: Place) -> DataFrame:
     steps = own.unionByName(second)
     planning = {k: a for k, a in ACTIONS.items() if a.directory is not None}
     directory = F.coalesce(*[F.when(F.col("action") == k, a.directory(place, F.col("folder"))) for k, a in planning.items()])
-    steps = steps.where(F.col("action").isin(*planning)).withColumn("directory", directory)
+    steps = materialize(steps.where(F.col("action").isin(*planning)).withColumn("directory", directory), "steps")
     fixed = [k for k, a in planning.items() if not a.named]
     names = allocate_names(steps.where(~F.col("action").isin(*fixed)))
     loose = steps.where(F.col("action").isin(*fixed)).withColumn("name", relative_path(F.col("path"), place.roots))
