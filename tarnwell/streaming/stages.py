@@ -46,7 +46,7 @@ def read_results(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def detected_batch(images: DataFrame, rules: RuleSet, make: Callable[[], providers.Detector], look_into_videos: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Boxes, decisions and errors of a batch of images that wait for detection.
+    """Boxes, decisions (with the images' paths, for later stages) and errors of a batch of images that wait for detection.
 
     Every video also has the class ``video``; one that can't be read has only that, and isn't described later. Other
     images that can't be read are errors.
@@ -64,7 +64,8 @@ def detected_batch(images: DataFrame, rules: RuleSet, make: Callable[[], provide
     boxes = real.unionByName(mark)
     done = found.where("boxes is not null or is_video").select(F.col("id").alias("image_id")).unionByName(unread.select(F.col("id").alias("image_id")))
     decisions = evidence.decide(done, boxes, rules).join(blind.select(F.col("id").alias("image_id"), F.lit(True).alias("b")), "image_id", "left")
-    return boxes, decisions.withColumn("skip_analyze", F.coalesce("b", F.lit(False))).drop("b"), errors
+    decisions = decisions.withColumn("skip_analyze", F.coalesce("b", F.lit(False))).drop("b")
+    return boxes, decisions.join(waiting.select(F.col("id").alias("image_id"), "path"), "image_id"), errors
 
 
 def run_stage(
@@ -105,7 +106,8 @@ def run_adjudicate(spark: SparkSession, out: str, rules: RuleSet, make: Callable
     def work(batch: DataFrame, number: int) -> None:
         boxes = materialize(batch.withColumn("id", F.monotonically_increasing_id()), "boxes")
         asked = evidence.uncertain_classes(boxes, rules)
-        questions = asked.select(F.col("image_id").alias("id"), F.lit(None).cast("string").alias("path"), F.array_join("classes", ",").alias("hint"))
+        paths = read_results(spark, out, "decisions").select("image_id", "path")
+        questions = asked.join(paths, "image_id").select(F.col("image_id").alias("id"), "path", F.array_join("classes", ",").alias("hint"))
         replies = providers.describe(questions, make)
         asked_for = asked.select(F.col("image_id").alias("id"), F.explode("classes").alias("class"))
         each = replies.where("error is null").join(asked_for, "id").select("id", semantic.verdict_on(F.col("reply"), F.col("class")).alias("v"))

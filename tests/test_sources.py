@@ -121,6 +121,39 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_path):
     assert not [r for r in stages.read_results(spark, out, "rechecked").join(asked, "image_id").collect() if r["category"] == "none" and set(r["classes"]) & {"cat", "dog"}]
 
 
+def detected(spark, tmp_path, rules, count=40):
+    """A folder in which detection has run over images of the paths /l/1.jpg, /l/2.jpg ..., every seventh a video."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    images(spark, *[{"path": f"/l/{i}{'.mp4' if i % 7 == 0 else '.jpg'}"} for i in range(1, count)]).repartition(5).write.parquet(source)
+    stages.run_detect(spark, source, out, rules, providers.FakeDetector, files_per_batch=2)
+    return out
+
+
+def looking():
+    """Agrees, but only where it is given the path of one of the images."""
+
+    class Looks:
+        model = "looks"
+
+        def describe(self, path, hint):
+            if not path.startswith("/l/"):
+                raise OSError(path)
+            number = int(path[3:-4])
+            return json.dumps({f"{c}_{k}": v for c in hint.split(",") for k, v in (("verdict", "yes"), ("confidence", number / 1000))})
+
+    return Looks
+
+
+def test_second_opinion_is_given_the_path(spark, tmp_path):
+    rules = starter(["cat", "dog", "video"])
+    out = detected(spark, tmp_path, rules)
+    stages.run_adjudicate(spark, out, rules, looking())
+    asked = evidence.uncertain_classes(stages.read_results(spark, out, "boxes"), rules)
+    want = {(r["image_id"], c, r["image_id"] / 1000) for r in asked.collect() for c in r["classes"]}
+    got = {(r["image_id"], r["class"], r["verdict_confidence"]) for r in stages.read_results(spark, out, "verdicts").collect()}
+    assert want and got == want
+
+
 def test_runs_stop(spark):
     done, stopper = [], stages.Stopper()
     assert stages.run_all([lambda: done.append(1), lambda: 1 / 0, lambda: done.append(3)], stopper) == ["ZeroDivisionError: division by zero"] and done == [1, 3]
