@@ -99,15 +99,26 @@ def run_detect(spark: SparkSession, source: str, out: str, rules: RuleSet, make:
     run_stage(spark, source, TABLES["images"], f"{out}/checkpoints/detect", work, stopper, files_per_batch)
 
 
+def boxes_of(spark: SparkSession, out: str, named: DataFrame) -> DataFrame:
+    """All boxes of the images in ``named`` (image_id and the batch of detection that decided them)."""
+    numbers = [r["batch"] for r in named.select("batch").distinct().collect()]  # at most as many as files in a batch
+    boxes = read_results(spark, out, "boxes").where(F.col("batch").isin(numbers))
+    return boxes.join(named.select("image_id", "batch"), ["image_id", "batch"], "left_semi").drop("batch")
+
+
 def run_adjudicate(spark: SparkSession, out: str, rules: RuleSet, make: Callable[[], providers.Describer], stopper: Stopper | None = None, files_per_batch: int = 16) -> None:
-    """Second opinions on the classes that detection left in doubt: verdicts, and the decisions they lead to."""
-    schema = StructType([f for f in read_results(spark, out, "boxes").schema if f.name != "batch"])
+    """Second opinions on the classes that detection left in doubt: verdicts, and the decisions they lead to.
+
+    A batch names images, each of which has one decision; their boxes are read from all that detection wrote with it,
+    so neither the files that boxes lie in nor the size of a batch has a say in the result.
+    """
+    schema = read_results(spark, out, "decisions").schema
 
     def work(batch: DataFrame, number: int) -> None:
-        boxes = materialize(batch.withColumn("id", F.monotonically_increasing_id()), "boxes")
+        named = materialize(batch.select("image_id", "path", "batch"), "named")
+        boxes = materialize(boxes_of(spark, out, named).withColumn("id", F.monotonically_increasing_id()), "boxes")
         asked = evidence.uncertain_classes(boxes, rules)
-        paths = read_results(spark, out, "decisions").select("image_id", "path")
-        questions = asked.join(paths, "image_id").select(F.col("image_id").alias("id"), "path", F.array_join("classes", ",").alias("hint"))
+        questions = asked.join(named, "image_id").select(F.col("image_id").alias("id"), "path", F.array_join("classes", ",").alias("hint"))
         replies = providers.describe(questions, make)
         asked_for = asked.select(F.col("image_id").alias("id"), F.explode("classes").alias("class"))
         each = replies.where("error is null").join(asked_for, "id").select("id", semantic.verdict_on(F.col("reply"), F.col("class")).alias("v"))
@@ -117,8 +128,9 @@ def run_adjudicate(spark: SparkSession, out: str, rules: RuleSet, make: Callable
         decisions = evidence.recheck(asked.select("image_id"), boxes, settled, rules)
         _write(decisions, out, "rechecked", number)
         drop_table(boxes)
+        drop_table(named)
 
-    run_stage(spark, f"{out}/boxes/*", schema, f"{out}/checkpoints/adjudicate", work, stopper, files_per_batch)
+    run_stage(spark, f"{out}/decisions", schema, f"{out}/checkpoints/adjudicate", work, stopper, files_per_batch)
 
 
 def run_all(steps: list[Callable[[], None]], stopper: Stopper) -> list[str]:

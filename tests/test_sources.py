@@ -5,6 +5,7 @@ import glob
 import hashlib
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,6 +155,24 @@ def test_second_opinion_is_given_the_path(spark, tmp_path):
     assert want and got == want
 
 
+def test_second_opinion_does_not_depend_on_files(spark, tmp_path):
+    """An image's boxes in many files, read one at a time, lead to what one recheck of all boxes says."""
+    rules = starter(["cat", "dog", "video"])
+    out = detected(spark, tmp_path, rules)
+    for folder in glob.glob(f"{out}/boxes/batch=*"):
+        rows = spark.read.parquet(folder).collect()
+        spark.createDataFrame(rows, spark.read.parquet(folder).schema).repartition(7, "class", "confidence").write.parquet(folder + ".spread")
+        shutil.rmtree(folder)
+        os.rename(folder + ".spread", folder)
+    stages.run_adjudicate(spark, out, rules, looking(), files_per_batch=1)
+    boxes = stages.read_results(spark, out, "boxes").drop("batch").withColumn("id", F.monotonically_increasing_id())
+    asked, verdicts = evidence.uncertain_classes(boxes, rules), stages.read_results(spark, out, "verdicts").drop("batch")
+    key = lambda df: sorted(tuple(r) for r in df.select("image_id", "category", "action", "needs_review").collect())
+    want = key(evidence.recheck(asked.select("image_id"), boxes, verdicts, rules))
+    assert want and key(stages.read_results(spark, out, "rechecked").join(asked, "image_id", "left_semi")) == want
+    assert verdicts.count() == verdicts.select("image_id", "class").distinct().count() > 0
+
+
 def test_runs_stop(spark):
     done, stopper = [], stages.Stopper()
     assert stages.run_all([lambda: done.append(1), lambda: 1 / 0, lambda: done.append(3)], stopper) == ["ZeroDivisionError: division by zero"] and done == [1, 3]
