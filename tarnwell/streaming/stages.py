@@ -110,7 +110,8 @@ def run_adjudicate(spark: SparkSession, out: str, rules: RuleSet, make: Callable
     """Second opinions on the classes that detection left in doubt: verdicts, and the decisions they lead to.
 
     A batch names images, each of which has one decision; their boxes are read from all that detection wrote with it,
-    so neither the files that boxes lie in nor the size of a batch has a say in the result.
+    so neither the files that boxes lie in nor the size of a batch has a say in the result. Questions that got no
+    answer are written to ``adjudicate_errors`` (id, message); their images have no verdict and keep detection's decision.
     """
     schema = read_results(spark, out, "decisions").schema
 
@@ -119,14 +120,18 @@ def run_adjudicate(spark: SparkSession, out: str, rules: RuleSet, make: Callable
         boxes = materialize(boxes_of(spark, out, named).withColumn("id", F.monotonically_increasing_id()), "boxes")
         asked = evidence.uncertain_classes(boxes, rules)
         questions = asked.join(named, "image_id").select(F.col("image_id").alias("id"), "path", F.array_join("classes", ",").alias("hint"))
-        replies = providers.describe(questions, make)
+        replies = materialize(providers.describe(questions, make), "replies")  # ask once
+        failed = replies.where("error is not null").select("id", F.col("error").alias("message"))
+        _write(failed, out, "adjudicate_errors", number)
         asked_for = asked.select(F.col("image_id").alias("id"), F.explode("classes").alias("class"))
         each = replies.where("error is null").join(asked_for, "id").select("id", semantic.verdict_on(F.col("reply"), F.col("class")).alias("v"))
         verdicts = each.select(F.col("id").alias("image_id"), "v.class", "v.verdict", F.col("v.confidence").alias("verdict_confidence"))
         _write(verdicts, out, "verdicts", number)
         settled = spark.read.parquet(f"{out}/verdicts/batch={number}")
-        decisions = evidence.recheck(asked.select("image_id"), boxes, settled, rules)
+        answered = replies.where("error is null").select(F.col("id").alias("image_id"))
+        decisions = evidence.recheck(answered, boxes, settled, rules)
         _write(decisions, out, "rechecked", number)
+        drop_table(replies)
         drop_table(boxes)
         drop_table(named)
 

@@ -173,6 +173,32 @@ def test_second_opinion_does_not_depend_on_files(spark, tmp_path):
     assert verdicts.count() == verdicts.select("image_id", "class").distinct().count() > 0
 
 
+def failing():
+    """Agrees on images of even numbers and fails on others."""
+
+    class Fails:
+        model = "fails"
+
+        def describe(self, path, hint):
+            if int(path[3:-4]) % 2:
+                raise OSError("no answer")
+            return json.dumps({f"{c}_verdict": "yes" for c in hint.split(",")})
+
+    return Fails
+
+
+def test_failed_second_opinions_are_recorded(spark, tmp_path):
+    rules = starter(["cat", "dog", "video"])
+    out = detected(spark, tmp_path, rules)
+    stages.run_adjudicate(spark, out, rules, failing())
+    asked = {r["image_id"] for r in evidence.uncertain_classes(stages.read_results(spark, out, "boxes"), rules).collect()}
+    odd = {i for i in asked if i % 2}
+    assert odd and asked - odd
+    assert {(r["id"], r["message"]) for r in stages.read_results(spark, out, "adjudicate_errors").collect()} == {(i, "no answer") for i in odd}
+    assert {r["image_id"] for r in stages.read_results(spark, out, "rechecked").collect()} == asked - odd
+    assert {r["image_id"] for r in stages.read_results(spark, out, "verdicts").collect()} == asked - odd
+
+
 def test_runs_stop(spark):
     done, stopper = [], stages.Stopper()
     assert stages.run_all([lambda: done.append(1), lambda: 1 / 0, lambda: done.append(3)], stopper) == ["ZeroDivisionError: division by zero"] and done == [1, 3]
