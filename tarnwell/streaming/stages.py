@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tarnwell.operators import evidence, reporting, semantic
-from tarnwell.plans.rules import RuleSet
+from tarnwell.plans.rules import VIDEO, RuleSet
 from tarnwell.schema import TABLES
 from tarnwell.session import drop_table, materialize
 from tarnwell.sources import providers
 
 #: What is recorded as the model of a video that nothing looked into.
 SUFFIX_MODEL = "file-extension"
+#: The place of a video's own box among those found in it.
+LAST = 2**31 - 1
 
 
 @dataclass
@@ -40,13 +42,18 @@ def _write(df: DataFrame, folder: str, name: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_results(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """All batches of a stage's results."""
     return spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}")
 
 
 def detected_batch(images: DataFrame, rules: RuleSet, make: Callable[[], providers.Detector], look_into_videos: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Boxes, decisions (with the images' paths, for later stages) and errors of a batch of images that wait for detection.
+    """Boxes, decisions (with path and ``deleted`` of the images, for later stages) and errors of a batch of images that wait for detection.
 
     Every video also has the class ``video``; one that can't be read has only that, and isn't described later. Other
     images that can't be read are errors.
@@ -56,16 +63,16 @@ def detected_batch(images: DataFrame, rules: RuleSet, make: Callable[[], provide
     found = materialize(providers.detect(seen, make).join(waiting.select("id", "is_video"), "id"), "found")  # infer once
     unread = waiting.join(found.select("id"), "id", "left_anti").select("id", "path", F.lit(True).alias("is_video"))
     errors = found.where("boxes is null and not is_video").select("id", F.col("error").alias("message"))
-    real = found.where("boxes is not null").select(F.col("id").alias("image_id"), "model", F.explode("boxes").alias("b")).select("image_id", "b.*", "model")
+    real = found.where("boxes is not null").select(F.col("id").alias("image_id"), "model", F.posexplode("boxes").alias("seq", "b")).select("image_id", "seq", "b.*", "model")
     blind = found.where("boxes is null and is_video").select("id").unionByName(unread.select("id"))
     model = found.where("boxes is not null and is_video").select("id", "model").unionByName(blind.withColumn("model", F.lit(SUFFIX_MODEL)))
     zero = {c: F.lit(0.0) for c in ("x1", "y1", "x2", "y2")}
-    mark = model.select(F.col("id").alias("image_id"), F.lit("video").alias("class"), F.lit(1.0).alias("confidence"), *[v.alias(c) for c, v in zero.items()], "model")
+    mark = model.select(F.col("id").alias("image_id"), F.lit(LAST).alias("seq"), F.lit("video").alias("class"), F.lit(1.0).alias("confidence"), *[v.alias(c) for c, v in zero.items()], "model")
     boxes = real.unionByName(mark)
     done = found.where("boxes is not null or is_video").select(F.col("id").alias("image_id")).unionByName(unread.select(F.col("id").alias("image_id")))
     decisions = evidence.decide(done, boxes, rules).join(blind.select(F.col("id").alias("image_id"), F.lit(True).alias("b")), "image_id", "left")
     decisions = decisions.withColumn("skip_analyze", F.coalesce("b", F.lit(False))).drop("b")
-    return boxes, decisions.join(waiting.select(F.col("id").alias("image_id"), "path"), "image_id"), errors
+    return boxes, decisions.join(waiting.select(F.col("id").alias("image_id"), "path", "deleted"), "image_id"), errors
 
 
 def run_stage(
@@ -111,12 +118,13 @@ def run_adjudicate(spark: SparkSession, out: str, rules: RuleSet, make: Callable
 
     A batch names images, each of which has one decision; their boxes are read from all that detection wrote with it,
     so neither the files that boxes lie in nor the size of a batch has a say in the result. Questions that got no
-    answer are written to ``adjudicate_errors`` (id, message); their images have no verdict and keep detection's decision.
+    answer are written to ``adjudicate_errors`` (id, message); their images have no verdict and keep detection's decision. ``settled`` holds every image that was in doubt, asked
+    about or not, with the decision that holds now; that lets it go on to be described.
     """
     schema = read_results(spark, out, "decisions").schema
 
     def work(batch: DataFrame, number: int) -> None:
-        named = materialize(batch.select("image_id", "path", "batch"), "named")
+        named = materialize(batch, "named")
         boxes = materialize(boxes_of(spark, out, named).withColumn("id", F.monotonically_increasing_id()), "boxes")
         asked = evidence.uncertain_classes(boxes, rules)
         questions = asked.join(named, "image_id").select(F.col("image_id").alias("id"), "path", F.array_join("classes", ",").alias("hint"))
@@ -131,6 +139,9 @@ def run_adjudicate(spark: SparkSession, out: str, rules: RuleSet, make: Callable
         answered = replies.where("error is null").select(F.col("id").alias("image_id"))
         decisions = evidence.recheck(answered, boxes, settled, rules)
         _write(decisions, out, "rechecked", number)
+        doubtful, anew = named.where("needs_review").withColumnRenamed("batch", "detected_in"), spark.read.parquet(f"{out}/rechecked/batch={number}")
+        changed = doubtful.drop("category", "action", "needs_review").join(anew, "image_id")
+        _write(changed.unionByName(doubtful.join(anew, "image_id", "left_anti")), out, "settled", number)
         drop_table(replies)
         drop_table(boxes)
         drop_table(named)
@@ -138,6 +149,40 @@ def run_adjudicate(spark: SparkSession, out: str, rules: RuleSet, make: Callable
     run_stage(spark, f"{out}/decisions", schema, f"{out}/checkpoints/adjudicate", work, stopper, files_per_batch)
 
 
+def run_analyze(spark: SparkSession, out: str, rules: RuleSet, make: Callable[[], providers.Describer], stopper: Stopper | None = None, files_per_batch: int = 16) -> None:
+    """Descriptions of the images that the rules care about: ``metadata`` (image_id, json, model) and ``analyze_errors`` (id, message).
+
+    Images that detection was sure of come from its decisions, those in doubt only once the second opinion has settled
+    them, so one that it rescues from ``ignore`` is described and one that still waits for it stays for a later run.
+    Ignored and deleted images and videos that nothing looked into are left out. The hint is what detection found.
+    """
+    classes = sorted(rules.required_classes() - {VIDEO})
+
+    def describing(name: str, detected_in: str) -> Callable[[DataFrame, int], None]:
+        def work(batch: DataFrame, number: int) -> None:
+            rows = batch.where("not needs_review") if name == "decisions" else batch
+            rows = rows.where("deleted = 0 and not skip_analyze and action <> 'ignore'")
+            claimed = materialize(rows.select("image_id", "path", F.col(detected_in).alias("batch")), "claimed")
+            known = evidence.hints(boxes_of(spark, out, claimed).withColumnRenamed("seq", "id"), rules)
+            questions = claimed.join(known, "image_id", "left").select(F.col("image_id").alias("id"), "path", "hint")
+            replies = materialize(providers.describe(questions, make), "replies")  # ask once
+            read = replies.select("*", F.explode(F.array(semantic.salvage(F.col("reply")))).alias("v"))
+            described = read.where("error is null and v is not null")
+            _write(described.select(F.col("id").alias("image_id"), F.to_json(semantic.coerce(F.col("v"), classes)).alias("json"), "model"), out, f"metadata/of={name}", number)
+            unread = F.concat(F.lit("model returned no JSON object: "), F.coalesce(F.left("reply", F.lit(200)), F.lit("")))
+            failed = read.where("error is not null or v is null").select("id", F.coalesce("error", unread).alias("message"))
+            _write(failed, out, f"analyze_errors/of={name}", number)
+            drop_table(replies)
+            drop_table(claimed)
+
+        return work
+
+    for name, detected_in in (("decisions", "batch"), ("settled", "detected_in")):
+        if (stopper is None or not stopper.stopped) and _exists(spark, f"{out}/{name}"):
+            schema = read_results(spark, out, name).schema
+            run_stage(spark, f"{out}/{name}", schema, f"{out}/checkpoints/analyze-{name}", describing(name, detected_in), stopper, files_per_batch)
+
+
 def run_all(steps: list[Callable[[], None]], stopper: Stopper) -> list[str]:
     """Runs stages one after another, the first one's failure being fatal, later ones' not; returns what went wrong."""
     problems: list[str] = []

@@ -199,6 +199,50 @@ def test_failed_second_opinions_are_recorded(spark, tmp_path):
     assert {r["image_id"] for r in stages.read_results(spark, out, "verdicts").collect()} == asked - odd
 
 
+def describing():
+    """Repeats path and hint; has prose for /l/3.jpg and fails on /l/6.jpg."""
+
+    class Describes:
+        model = "describes"
+
+        def describe(self, path, hint):
+            if path == "/l/6.jpg":
+                raise OSError("no answer")
+            return "a cat" if path == "/l/3.jpg" else json.dumps({"environment": hint, "notes": path, "cat_count": "2"})
+
+    return Describes
+
+
+def test_images_are_described(spark, tmp_path):
+    rules = starter(["cat", "dog", "video"])
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [{"path": f"/l/{i}{'.mp4' if i % 7 == 0 else '.jpg'}"} for i in range(1, 40)] + [{"path": "/l/broken.mp4"}, *[{"path": f"/l/{i}.jpg", "deleted": 1} for i in range(41, 60)]]
+    images(spark, *rows).repartition(5).write.parquet(source)
+    stages.run_detect(spark, source, out, rules, providers.FakeDetector, files_per_batch=2)
+    first = {r["image_id"]: r for r in stages.read_results(spark, out, "decisions").collect()}
+    doubtful = {i for i, r in first.items() if r["needs_review"]}
+
+    def told():
+        return sorted(r["image_id"] for r in stages.read_results(spark, out, "metadata").collect()), sorted(r["id"] for r in stages.read_results(spark, out, "analyze_errors").collect())
+
+    wanted = lambda decided: {i for i, r in decided.items() if i < 40 and r["action"] != "ignore"}
+    stages.run_analyze(spark, out, rules, describing(), files_per_batch=1)
+    described, failed = told()
+    assert sorted(described + failed) == sorted(wanted(first) - doubtful)
+    stages.run_adjudicate(spark, out, rules, failing())
+    last = first | {r["image_id"]: r for r in stages.read_results(spark, out, "rechecked").collect()}
+    assert wanted(last) - wanted(first)  # rescued from ignore
+    for _ in range(2):  # a restart adds nothing
+        stages.run_analyze(spark, out, rules, describing(), files_per_batch=1)
+        described, failed = told()
+        assert sorted(described + failed) == sorted(wanted(last)) and set(failed) == wanted(last) & {3, 6} and failed
+    hints = {r["image_id"]: r["hint"] for r in evidence.hints(stages.read_results(spark, out, "boxes").withColumnRenamed("seq", "id"), rules).collect()}
+    for r in stages.read_results(spark, out, "metadata").collect():
+        reply = json.loads(r["json"])
+        assert (reply["notes"], reply["environment"], reply["cat_count"], r["model"]) == (rows[r["image_id"] - 1]["path"], hints.get(r["image_id"], ""), 2, "describes")
+        assert not [k for k in reply if k.startswith("video")] and reply["dog_kinds"] == []
+
+
 def test_runs_stop(spark):
     done, stopper = [], stages.Stopper()
     assert stages.run_all([lambda: done.append(1), lambda: 1 / 0, lambda: done.append(3)], stopper) == ["ZeroDivisionError: division by zero"] and done == [1, 3]
