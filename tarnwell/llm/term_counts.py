@@ -173,11 +173,15 @@ class TermCounts:
 
 
 def index_records(spark: SparkSession, folder: str) -> DataFrame:
-    """``field, record_id, image_id, term`` of detections, current images and adjudications, each record once."""
+    """``field, record_id, image_id, term`` of detections, current images and adjudications, each record once.
+
+    Detections and adjudications of null id can't be told apart by it: each distinct content (image and value) is a record.
+    """
     parts = []
     for table, column in (("detections", "class"), ("adjudications", "verdict")):
         rows = read_table(spark, folder, table).select("id", "image_id", F.col(column).alias("value"))
-        once = rows.groupBy("id").agg(F.first("image_id").alias("image_id"), F.first("value").alias("value"))
+        unnamed = [F.when(F.col("id").isNull(), F.col(c)).alias(f"__{c}") for c in ("image_id", "value")]
+        once = rows.groupBy("id", *unnamed).agg(F.first("image_id").alias("image_id"), F.first("value").alias("value"))
         parts.append(once.select(F.lit(f"{table}.{column}").alias("field"), F.col("id").alias("record_id"), "image_id", term("value").alias("term")))
     images = current_rows(read_table(spark, folder, "images"), "id", "updated_at", ["category"])
     parts.append(images.select(F.lit("images.category").alias("field"), F.col("id").alias("record_id"), F.col("id").alias("image_id"), term("category").alias("term")))

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 from tarnwell.llm.cooccurrence import cooccurrence
-from tarnwell.llm.term_counts import TermCounts, signed_changes
+from tarnwell.llm.term_counts import TermCounts, p1_counts, signed_changes
 from tarnwell.session import new_table_path
 
 RECORD = "field string, record_id long, image_id long, term string"
@@ -75,3 +75,12 @@ def test_pairs(spark):
     some = {(r["item_a"], r["item_b"]) for r in cooccurrence(df, "image", "t", 20, 400, 1).collect()}
     assert some == {p for p, k in both.items() if k >= 20 and 1000 * k >= 400 * total and k * total >= n[p[0]] * n[p[1]]}
     assert cooccurrence(df.where("false"), "image", "t").count() == 0
+
+
+def test_records_without_id_are_told_apart_by_content(spark, tmp_path):
+    rows = [(None, 1, "cat"), (None, 1, "cat"), (None, 2, "cat"), (None, 2, "dog"), (5, 3, "dog"), (5, 3, "dog")]
+    spark.createDataFrame(rows, "id long, image_id long, class string").write.parquet(f"{tmp_path}/detections.parquet")
+    spark.createDataFrame([(None, 1, "yes"), (None, 2, "no")], "id long, image_id long, verdict string").write.parquet(f"{tmp_path}/adjudications.parquet")
+    spark.createDataFrame([], "id long, category string, updated_at double").write.parquet(f"{tmp_path}/images.parquet")
+    got = {(r["field"], r["term"]): (r["occurrences"], r["images"]) for r in p1_counts(spark, str(tmp_path)).collect()}
+    assert got == {("detections.class", "cat"): (2, 2), ("detections.class", "dog"): (2, 2), ("adjudications.verdict", "yes"): (1, 1), ("adjudications.verdict", "no"): (1, 1)}
