@@ -9,7 +9,7 @@ from tarnwell import index
 from tarnwell.functions.hashes import hex16
 from tarnwell.operators import evidence, export, reporting, scan, semantic, similarity, state
 from tarnwell.oracles import ORACLES  # noqa: F401
-from tarnwell.operators.moments import p2_found
+from tarnwell.operators.moments import p2_clocks, p2_found
 from tarnwell.operators.nested import p5_found, shred, variant_tables
 from tarnwell.plans import actions
 from tarnwell.plans.rules import parse_ruleset, starter
@@ -294,6 +294,6 @@ QUERIES = {
         frame_positions, detection_hints, pipeline_counts, category_counts, action_counts, class_counts, verdict_counts, distinct_roots, exact_duplicates,
         duplicate_listing, document_duplicates, hamming_pairs, similarity_components, duplicate_groups, dhash_bits, scan_diff, scan_tally, sync_queues,
         retry_count, stale_detections, purge_missing, plan_actions, dry_run_counts, prune_links, search_metadata, coerce_reply, parse_verdict,
-        json_highlights, history, samples, export_records, export_csv, p2_found, p5_found, p5_kind_objects,
+        json_highlights, history, samples, export_records, export_csv, p2_found, p2_clocks, p5_found, p5_kind_objects,
     )
 } | {f"claim_{s}": _claim(s) for s in ("detect", "adjudicate", "analyze")}
