@@ -1,205 +1,294 @@
-"""Deeply nested semi-structured records as related flat tables.
-
-A reply is classified bottom-up by a small tree automaton: a node's state follows from its own kind and the states of
-its children (``STATES``). The state routes the node to the table of its variant: frames, subjects, kinds given as
-objects and kinds given as bare names. All variants keep the keys of their common supertype, that is the record's id
-and the positions on every level, which are also the links to their parents.
+"""Deeply nested semi-structured records as related flat tables, by structural variants.
+
+A bottom-up tree automaton classifies every value: scalars have a state of their own, a list's state is made of those of
+its items, an object's of those of its fields. Nothing about the states is fixed beforehand, they are what the records
+turn out to hold; absent, null and empty fields are one, a single item in place of a list is a list of one. A record is
+accepted where an object has the first level's key with a state that can hold nodes; the levels (``Level``) say under
+which keys nodes hold others, and so give an object its type.
+
+A node's state is its structural variant. The nodes are written once, sorted by variant within their tasks, and each
+variant has a typed table (``typed_table``): the columns that its state names, with their types. All variants keep
+what they have in common (``supertype``): the record's key, the node's type and name, and its positions on every level,
+which are the links to its parents.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from tarnwell.functions.json_scan import decode, objects
+from tarnwell.session import materialize
 from tarnwell.tables import current_rows, own_name, read_table
 
-#: The automaton's transitions: state of a parent -> (key of the children, state of an object child, of a text child).
-STATES = {
-    "reply": ("frames", "frame", None),
-    "frame": ("subjects", "subject", None),
-    "subject": ("kinds", "kind_object", "kind_name"),
-    "kind_object": (None, None, None),
-    "kind_name": (None, None, None),
-}
-#: Keys of a reply besides its frames, compared without letter case; a wrapper may have one of these by chance, not two.
-REPLY_KEYS = frozenset(["activities", "environment", "is_main_subject", "quality", "notes"])
-#: How deep wrappers (objects, lists, texts in texts) are searched for the reply.
-MAX_WRAPPERS = 64
 
-NODE_SCHEMA = (
-    "state string, frame_no bigint, subject_no bigint, kind_no bigint, node_name string, at double, count bigint, "
-    "x1 double, y1 double, x2 double, y2 double, score double, traits array<string>"
-)
+@dataclass(frozen=True)
+class Level:
+    """Nodes of one type: the parent's key that holds them, and what names them.
 
+    ``name`` is the field that holds a node's name; ``texts`` says that a bare text is a node too and its own name;
+    ``named`` leaves out nodes without a name, ``lower`` puts names in lower case.
+    """
 
-def _reject(token: str) -> None:
-    raise ValueError(token)
+    key: str
+    type: str
+    name: str | None = None
+    texts: bool = False
+    named: bool = False
+    lower: bool = False
 
 
-_DECODER = json.JSONDecoder(parse_constant=_reject)
+#: The levels of a vision model's reply.
+REPLY = (Level("frames", "frame"), Level("subjects", "subject", "class", lower=True), Level("kinds", "kind", "name", texts=True, named=True))
 
-
-def _objects(text: str) -> Iterator[dict]:
-    """The complete, strictly valid JSON objects in a text, outermost first, left to right."""
-    at = text.find("{")
-    while at >= 0:
-        try:
-            value, end = _DECODER.raw_decode(text, at)
-        except (ValueError, RecursionError):
-            end = at + 1
-        else:
-            yield value
-        at = text.find("{", end)
-
-
-def _is_reply(value: dict) -> bool:
-    names = {k.lower() for k in value}
-    return "frames" in names or sum(n in REPLY_KEYS or n.endswith(("_count", "_kinds")) for n in names) > 1
-
-
-def find_reply(value: object, depth: int = 0) -> dict | None:
-    """The reply within a decoded value: an object with frames or several keys of a reply, in wrappers and texts."""
-    if depth > MAX_WRAPPERS:
-        return None
-    if isinstance(value, dict):
-        if _is_reply(value):
-            return value
-        inner = value.values()
-    elif isinstance(value, list):
-        inner = value
-    elif isinstance(value, str):
-        inner = _in_text(value)
-    else:
-        return None
-    for x in inner:
-        if isinstance(x, (dict, list, str)) and (found := find_reply(x, depth + 1)) is not None:
-            return found
-    return None
+NODE = "node_type string, positions array<bigint>, node_name string, variant string, fields map<string,string>"
+#: States of fields -> Spark type of their column.
+TYPES = {"text": "string", "number": "double", "boolean": "boolean", "text*": "array<string>", "number*": "array<double>", "boolean*": "array<boolean>"}
 
 
-def _in_text(text: str) -> Iterator[object]:
-    stripped = text.strip(" \t\r\n\ufeff")
-    if stripped[:1] == '"':
+def in_text(text: str) -> Iterator[object]:
+    """What a text holds: the text that it is in JSON, or the objects that stand in it."""
+    bare = text.strip(" \t\r\n﻿")
+    if bare[:1] == '"':
         try:
-            whole = _DECODER.decode(stripped)
-        except (ValueError, RecursionError):
+            whole, end = decode(bare)
+        except json.JSONDecodeError:
             pass
         else:
-            yield whole
-            return
+            if end == len(bare):
+                yield whole
+                return
     if "{" in text:
-        yield from _objects(text)
+        yield from objects(text)
 
 
-def _get(node: dict, key: str) -> object:
-    if key in node:
-        return node[key]
-    return next((v for k, v in node.items() if k.lower() == key), None)
+def find_record(text: str, key: str) -> tuple[dict, str] | None:
+    """The record in a text and how it writes ``key``: the first object, outermost first, whose ``key`` can hold nodes.
 
+    Wrappers (objects, lists, texts in texts) are searched to any depth, in order.
+    """
+    todo: list[Iterator[object]] = [in_text(text)]
+    while todo:
+        for value in todo[-1]:
+            if isinstance(value, dict):
+                own = key if key in value else next((k for k in value if k.lower() == key), None)
+                if own is not None and (value[own] is None or isinstance(value[own], (dict, list))):
+                    return value, own
+                todo.append(iter(value.values()))
+            elif isinstance(value, list):
+                todo.append(iter(value))
+            elif isinstance(value, str) and ("{" in value or '"' in value):
+                todo.append(in_text(value))
+            else:
+                continue
+            break
+        else:
+            todo.pop()
+    return None
 
-def _items(value: object) -> list:
-    if value is None:
-        return []
-    return value if isinstance(value, list) else [value]
 
+_SCALARS = {str: "text", int: "number", float: "number", bool: "boolean"}
 
-def _real(value: object) -> float | None:
-    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
-        return None
-    try:
-        return float(value)
-    except (ValueError, OverflowError):
-        return None
-
-
-def _whole(value: object) -> int | None:
-    real = _real(value)
-    return int(real) if real is not None and abs(real) < 2**63 else None
-
-
-def _walk(node: object, state: str, places: tuple[int, ...], out: list[tuple]) -> None:
-    child_key, as_object, as_text = STATES[state]
-    frame_no, subject_no, kind_no = (*places, -1, -1, -1)[:3]
-    at = count = score = traits = None
-    box: object = None
-    if state == "frame":
-        name, at = "", _real(_get(node, "at"))
-    elif state == "subject":
-        label = _get(node, "class")
-        name, count, box = label.strip().lower() if isinstance(label, str) else "", _whole(_get(node, "count")), _get(node, "box")
-    elif state in ("kind_object", "kind_name"):
-        label = node if state == "kind_name" else _get(node, "name")
-        name = label.strip() if isinstance(label, str) else ""
-        if not name:
-            return
-        if state == "kind_object":
-            score = _real(_get(node, "score"))
-            traits = [x for x in _items(_get(node, "traits")) if isinstance(x, str)]
-    if state != "reply":
-        corners = [_real(_get(box, k)) if isinstance(box, dict) else None for k in ("x1", "y1", "x2", "y2")]
-        out.append((state, frame_no, subject_no, kind_no, name, at, count, *corners, score, traits))
-    if child_key is None:
-        return
-    for i, child in enumerate(_items(_get(node, child_key))):
-        child_state = as_object if isinstance(child, dict) else as_text if isinstance(child, str) else None
-        if child_state is not None:
-            _walk(child, child_state, (*places, i), out)
-
-
-def classify(text: str | None) -> list[tuple]:
-    """All nodes of the reply in ``text`` with their states, parents before children; none if it holds no reply.
-
-    Null and empty texts, prose, cut-off JSON and JSON with constants outside the standard hold none.
-    """
-    if not text:
-        return []
-    reply = find_reply(text)
-    out: list[tuple] = []
-    if reply is not None:
-        _walk(reply, "reply", (), out)
-    return out
 
+def _list_state(items: list) -> str:
+    """The state of a list: its items' states but null, each once, and ``*``; empty if it has no others."""
+    states = sorted({_SCALARS.get(type(x)) or ("object" if type(x) is dict else "list") for x in items if x is not None})
+    return "|".join(states) + "*" if states else ""
 
-def shred(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """One row per node of the replies in column ``text``: ``keys``, the node's state, its positions and typed values.
 
-    Rows are independent of each other: no shuffle, and a batch is turned to nodes at a time. Empty tables give no
-    rows, repeated rows their nodes repeatedly. A key named like a column of nodes gets an underscore after its name.
+def _written(value: object) -> str | None:
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except RecursionError:
+        return None  # deeper than can be written back; the node and its variant are there all the same
+
+
+class Shredder:
+    """Turns records to rows of nodes; what it knows of variants stays from batch to batch."""
+
+    def __init__(self, levels: tuple[Level, ...]) -> None:
+        self.levels = levels
+        self._variants: dict[tuple, str] = {}
+
+    def _start(self) -> None:
+        self.types: list[str] = []
+        self.places: list[int] = []
+        self.names: list[str] = []
+        self.variants: list[str] = []
+        self.field_keys: list[str] = []
+        self.field_values: list[str | None] = []
+        self.field_ends = [0]
+
+    def _classify(self, node: dict, child: str | None) -> tuple[str, dict[str, str | None]]:
+        """The state of an object, and its fields; an object within it gives fields with a dot, deeper values stay JSON."""
+        parts, fields = [], {}
+        for key, value in node.items():
+            kind = type(value)
+            low = key.lower()
+            if value is None or (low in fields and low != key):
+                continue
+            state = _SCALARS.get(kind)
+            if low == child:
+                items = value if kind is list else [value]
+                if held := _list_state(items):
+                    parts.append((low, held))
+            elif state is not None:
+                parts.append((low, state))
+                fields[low] = value if kind is str else "true" if value is True else "false" if value is False else repr(value)
+            elif kind is list:
+                if held := _list_state(value):
+                    parts.append((low, held))
+                    fields[low] = _written(value)
+            else:
+                for inner, x in value.items():
+                    if x is not None:
+                        name, state = f"{low}.{inner.lower()}", _SCALARS.get(type(x))
+                        parts.append((name, state or ("object" if type(x) is dict else _list_state(x) or "list")))
+                        fields[name] = x if type(x) is str else _written(x)
+        known = tuple(parts)
+        variant = self._variants.get(known)
+        if variant is None:
+            variant = self._variants[known] = "{" + ", ".join(f"{k}: {s}" for k, s in sorted(dict(parts).items())) + "}"
+        return variant, fields
+
+    def _node(self, level: Level, places: list[int], name: str, variant: str, fields: dict[str, str | None]) -> None:
+        self.types.append(level.type)
+        self.places += places
+        self.places += [-1] * (len(self.levels) - len(places))
+        self.names.append(name)
+        self.variants.append(variant)
+        self.field_keys += fields
+        self.field_values += fields.values()
+        self.field_ends.append(len(self.field_keys))
+
+    def _items(self, value: object, depth: int, places: list[int]) -> None:
+        level = self.levels[depth]
+        child = self.levels[depth + 1].key if depth + 1 < len(self.levels) else None
+        for i, item in enumerate(value if isinstance(value, list) else () if value is None else (value,)):
+            if isinstance(item, dict):
+                variant, fields = self._classify(item, child)
+                label = fields.get(level.name) if level.name and f"{level.name}: text" in variant else None
+                name = label.strip() if label else ""
+                if level.named and not name:
+                    continue
+                at = [*places, i]
+                self._node(level, at, name.lower() if level.lower else name, variant, fields)
+                if child is not None:
+                    own = child if child in item else next((k for k in item if k.lower() == child), None)
+                    if own is not None:
+                        self._items(item[own], depth + 1, at)
+            elif level.texts and isinstance(item, str) and (name := item.strip()):
+                self._node(level, [*places, i], name.lower() if level.lower else name, "text", {})
+
+    def nodes(self, texts: list[str | None]) -> pa.ListArray:
+        """The nodes of each text's record, parents before children; none where it holds no record."""
+        self._start()
+        ends = [0]
+        for text in texts:
+            if text and (found := find_record(text, self.levels[0].key)) is not None:
+                self._items(found[0][found[1]], 0, [])
+            ends.append(len(self.types))
+        whole = lambda xs: pa.array(xs, pa.int32())
+        size = len(self.levels)
+        places = pa.ListArray.from_arrays(whole(range(0, len(self.places) + 1, size)), pa.array(self.places, pa.int64()))
+        fields = pa.MapArray.from_arrays(whole(self.field_ends), pa.array(self.field_keys, pa.string()), pa.array(self.field_values, pa.string()))
+        columns = [pa.array(self.types, pa.string()), places, pa.array(self.names, pa.string()), pa.array(self.variants, pa.string()), fields]
+        rows = pa.StructArray.from_arrays(columns, ["node_type", "positions", "node_name", "variant", "fields"])
+        return pa.ListArray.from_arrays(whole(ends), rows)
+
+
+def position(level: Level) -> str:
+    """The column that holds a node's place among its parent's nodes of a type."""
+    return f"{level.type}_no"
+
+
+def shred(df: DataFrame, text: str, keys: list[str], levels: tuple[Level, ...] = REPLY) -> DataFrame:
+    """One row per node of the records in column ``text``: ``keys``, type, positions, name, variant and fields.
+
+    Null and empty texts, prose, cut-off JSON and JSON with constants outside the standard hold no record. Rows are
+    independent of each other: no shuffle. The nodes are a table, sorted by variant within each task, so that the table of
+    one variant is read without the others. Empty tables give no rows, repeated rows their nodes repeatedly. A key named
+    like a column of nodes gets an underscore after its name.
     """
 
-    @F.pandas_udf(ArrayType(StructType.fromDDL(NODE_SCHEMA)))
-    def nodes(texts: pd.Series) -> pd.Series:
-        return pd.Series([classify(t) for t in texts], dtype=object)
+    @F.arrow_udf(ArrayType(StructType.fromDDL(NODE)))
+    def nodes(texts: pa.Array) -> pa.Array:
+        shredder = Shredder(levels)
+        return shredder.nodes(texts.to_pylist())
 
     exploded = df.select(*[F.col(f"`{k}`") for k in keys], F.explode(nodes(F.col(text))).alias("__node"))
-    fields = [f.split(" ")[0] for f in NODE_SCHEMA.split(", ")]
-    return exploded.select(*[F.col(f"`{k}`").alias(own_name(k, fields)) for k in keys], "__node.*")
+    taken = ["node_type", *map(position, levels), "node_name", "variant", "fields"]
+    places = [F.col("__node.positions")[i].alias(position(x)) for i, x in enumerate(levels)]
+    rows = exploded.select(
+        *[F.col(f"`{k}`").alias(own_name(k, taken)) for k in keys], "__node.node_type", *places, "__node.node_name", "__node.variant", "__node.fields"
+    )
+    return materialize(rows.sortWithinPartitions("node_type", "variant"), "nodes")
+
 
+def variants(nodes: DataFrame) -> DataFrame:
+    """``node_type, variant, n``: the structural variants that were found; their number follows the shapes, not the rows."""
+    return nodes.groupBy("node_type", "variant").agg(F.count(F.lit(1)).alias("n"))
 
-def variant_tables(nodes: DataFrame, key: str) -> dict[str, DataFrame]:
-    """The typed tables of the variants, each with the key, its positions and the columns its variant has."""
-    at = lambda state: nodes.where(F.col("state") == state)
-    kind = [key, "frame_no", "subject_no", "kind_no", F.col("node_name").alias("name")]
-    return {
-        "frames": at("frame").select(key, "frame_no", "at"),
-        "subjects": at("subject").select(key, "frame_no", "subject_no", F.col("node_name").alias("class"), "count", "x1", "y1", "x2", "y2"),
-        "kind_objects": at("kind_object").select(*kind, "score", "traits"),
-        "kind_names": at("kind_name").select(*kind),
-    }
 
+def columns_of(variant: str) -> dict[str, str]:
+    """Column -> Spark type of a variant's own fields; fields of mixed or nested states are JSON texts."""
+    named = [x.rsplit(": ", 1) for x in variant[1:-1].split(", ")] if variant[:1] == "{" and len(variant) > 2 else []
+    return {name: TYPES.get(state, "string") for name, state in named}
 
-def supertype(nodes: DataFrame, key: str) -> DataFrame:
-    """What all variants have in common: key, type, positions and name."""
-    node_type = F.when(F.col("state").startswith("kind"), "kind").otherwise(F.col("state"))
-    return nodes.select(key, node_type.alias("node_type"), "frame_no", "subject_no", "kind_no", "node_name")
+
+def typed_table(nodes: DataFrame, node_type: str, variant: str, levels: tuple[Level, ...] = REPLY) -> DataFrame:
+    """The table of one variant: keys, positions, name and the variant's columns in their types (a dot becomes ``_``)."""
+    common = [c for c in nodes.columns if c not in ("node_type", "variant", "fields")]
+    children = {x.key for x in levels}
+    rows = nodes.where((F.col("node_type") == node_type) & (F.col("variant") == variant))
+
+    def typed(name: str, kind: str):
+        raw = F.try_element_at("fields", F.lit(name))
+        value = F.from_json(raw, kind) if kind.startswith("array") else raw.try_cast(kind)
+        return value.alias(own_name(name.replace(".", "_"), common))
+
+    return rows.select(*common, *[typed(n, k) for n, k in columns_of(variant).items() if n not in children])
+
+
+def variant_tables(nodes: DataFrame, levels: tuple[Level, ...] = REPLY) -> dict[tuple[str, str], DataFrame]:
+    """The typed table of every variant found, by type and variant."""
+    found = sorted((r["node_type"], r["variant"]) for r in variants(nodes).collect())  # bounded by the shapes there are
+    return {k: typed_table(nodes, *k, levels) for k in found}
+
+
+def supertype(nodes: DataFrame) -> DataFrame:
+    """What the tables of all variants have in common, of all of them: the union of their common columns, read at once."""
+    return nodes.drop("variant", "fields")
+
+
+def _nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return shred(current_rows(read_table(spark, folder, "metadata"), "image_id", "created_at", ["json"]), "json", ["image_id"])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Query p5_found."""
-    replies = current_rows(read_table(spark, folder, "metadata"), "image_id", "created_at", ["json"])
-    return supertype(shred(replies, "json", ["image_id"]), "image_id")
+    return supertype(_nodes(spark, folder))
+
+
+def p5_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Query p5_variants: the structural variants of all nodes with their numbers."""
+    return variants(_nodes(spark, folder))
+
+
+def p5_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """Query p5_subjects: subjects from the typed tables of all variants that have a number as count, with box where they have one."""
+    tables = [t for (kind, variant), t in variant_tables(_nodes(spark, folder)).items() if kind == "subject" and columns_of(variant).get("count") == "double"]
+    wanted = {"image_id": "bigint", "frame_no": "bigint", "subject_no": "bigint", "count": "double", "box_x1": "double", "box_y1": "double", "box_x2": "double", "box_y2": "double"}
+    aligned = [t.select(*[(F.col(c) if c in t.columns else F.lit(None)).cast(k).alias(c) for c, k in wanted.items()]) for t in tables]
+    if not aligned:
+        return spark.createDataFrame([], ", ".join(f"{c} {k}" for c, k in wanted.items()))
+    rows = aligned[0]
+    for more in aligned[1:]:
+        rows = rows.unionByName(more)
+    return rows

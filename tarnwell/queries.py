@@ -10,7 +10,7 @@ from tarnwell.functions.hashes import hex16
 from tarnwell.operators import evidence, export, reporting, scan, semantic, similarity, state
 from tarnwell.oracles import ORACLES  # noqa: F401
 from tarnwell.operators.moments import p2_clocks, p2_found
-from tarnwell.operators.nested import p5_found, shred, variant_tables
+from tarnwell.operators.nested import p5_found, p5_subjects, p5_variants
 from tarnwell.plans import actions
 from tarnwell.plans.rules import parse_ruleset, starter
 from tarnwell.tables import current_rows, read_table
@@ -282,11 +282,6 @@ def export_csv(spark: SparkSession, d: str) -> DataFrame:
     return export.csv_rows(export.records(_images(spark, d, *columns), index.boxes(spark, d), _current_metadata(spark, d)))
 
 
-def p5_kind_objects(spark: SparkSession, d: str) -> DataFrame:
-    nodes = shred(_current_metadata(spark, d), "json", ["image_id"])
-    return variant_tables(nodes, "image_id")["kind_objects"]
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -294,6 +289,6 @@ QUERIES = {
         frame_positions, detection_hints, pipeline_counts, category_counts, action_counts, class_counts, verdict_counts, distinct_roots, exact_duplicates,
         duplicate_listing, document_duplicates, hamming_pairs, similarity_components, duplicate_groups, dhash_bits, scan_diff, scan_tally, sync_queues,
         retry_count, stale_detections, purge_missing, plan_actions, dry_run_counts, prune_links, search_metadata, coerce_reply, parse_verdict,
-        json_highlights, history, samples, export_records, export_csv, p2_found, p2_clocks, p5_found, p5_kind_objects,
+        json_highlights, history, samples, export_records, export_csv, p2_found, p2_clocks, p5_found, p5_variants, p5_subjects,
     )
 } | {f"claim_{s}": _claim(s) for s in ("detect", "adjudicate", "analyze")}
