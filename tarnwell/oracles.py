@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwell import moments_sql
+from tarnwell import moments_sql, nested_sql
 
 _I = "i AS (SELECT * FROM images WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
 _TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -183,4 +183,4 @@ ORACLES = {
         FROM i LEFT JOIN m ON m.image_id = i.id LEFT JOIN x ON x.image_id = i.id WHERE missing = 0""",
     "detection_hints": f"""WITH {_B}, {_BANDS} SELECT image_id, string_agg(class || ' (' || printf('%.0f', confidence * 100) || '%)', ', ' ORDER BY confidence DESC, id) AS hint
         FROM b LEFT JOIN band USING (class) WHERE confidence >= coalesce(high, 0.65) GROUP BY image_id""",
-} | {f"claim_{s}": f"WITH {_I} SELECT id, path FROM i WHERE {s}_state = 0 AND {r} ORDER BY id LIMIT 32" for s, r in _READY.items()} | moments_sql.ORACLES
+} | {f"claim_{s}": f"WITH {_I} SELECT id, path FROM i WHERE {s}_state = 0 AND {r} ORDER BY id LIMIT 32" for s, r in _READY.items()} | moments_sql.ORACLES | nested_sql.ORACLES
