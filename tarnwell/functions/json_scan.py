@@ -14,7 +14,8 @@ def _integer(digits: str) -> int | float:
     return int(digits) if len(digits) < 1000 else float(digits)  # longer ones are refused by int
 
 
-_DECODER = json.JSONDecoder(parse_constant=lambda token: _INVALID, parse_int=_integer)
+_DECODER = json.JSONDecoder(parse_constant=lambda token: _INVALID)
+_PATIENT = json.JSONDecoder(parse_constant=lambda token: _INVALID, parse_int=_integer)
 _BRACKETS = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"|["{}\[\]]', re.S)
 _OPENING = re.compile(r'\{[ \t\r\n]*(?:\}|"[^"\\]*(?:\\.[^"\\]*)*"[ \t\r\n]*:)', re.S)
 _SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null", re.A)
@@ -28,6 +29,10 @@ def decode(text: str, at: int = 0) -> tuple[object, int]:
         return _DECODER.raw_decode(text, at)
     except RecursionError:
         return _decode_deep(text, at)
+    except ValueError as e:
+        if isinstance(e, json.JSONDecodeError):
+            raise
+        return _PATIENT.raw_decode(text, at)  # it holds an integer of thousands of digits
 
 
 #: Characters that are decoded at first; an error's cost grows with the text it is raised for, so more is taken only if need be.
@@ -75,12 +80,12 @@ def _decode_deep(text: str, at: int) -> tuple[object, int]:
                 found = _STRING.match(text, at)
                 if found is None:
                     raise json.JSONDecodeError("no string", text, at)
-                done, at = _DECODER.decode(found.group()), found.end()
+                done, at = _PATIENT.decode(found.group()), found.end()
             else:
                 found = _SCALAR.match(text, at)
                 if found is None:
                     raise json.JSONDecodeError("no value", text, at)
-                done, at = _DECODER.decode(found.group()), found.end()
+                done, at = _PATIENT.decode(found.group()), found.end()
         else:  # an empty list
             done, at = stack.pop()[0], at + 1
         while True:

@@ -93,30 +93,53 @@ def find_record(text: str, key: str) -> tuple[dict, str] | None:
     return None
 
 
-_SCALARS = {str: "text", int: "number", float: "number", bool: "boolean"}
-
-
-def _list_state(items: list) -> str:
-    """The state of a list: its items' states but null, each once, and ``*``; empty if it has no others."""
-    states = sorted({_SCALARS.get(type(x)) or ("object" if type(x) is dict else "list") for x in items if x is not None})
-    return "|".join(states) + "*" if states else ""
+_NULL, _TEXT, _NUMBER, _BOOLEAN, _LIST, _OBJECT = range(6)
+_KINDS = {type(None): _NULL, str: _TEXT, int: _NUMBER, float: _NUMBER, bool: _BOOLEAN, list: _LIST, dict: _OBJECT}
+_STATES = {str: "text", int: "number", float: "number", bool: "boolean", list: "list", dict: "object"}
+#: Layouts and variants that a worker keeps in mind; beyond, it forgets them and derives them again.
+KNOWN = 50_000
 
 
 def _written(value: object) -> str | None:
+    kind = type(value)
+    if kind is str:
+        return value
+    if kind is float or kind is int:
+        return repr(value)
     try:
         return json.dumps(value, ensure_ascii=False)
     except RecursionError:
         return None  # deeper than can be written back; the node and its variant are there all the same
 
 
+@dataclass
+class _Layout:
+    """How the objects with the same keys and types of values are read; places are those among the object's values."""
+
+    scalars: list[tuple[int, bool]]  # place, and whether it is a text
+    names: list[str]
+    others: list[tuple[int, str, int]]  # place, name and kind of lists and objects
+    child: int  # place of the field that holds nodes, -1 if it has none
+    name: int  # place of the node's name, -1 if it has no text as name
+    parts: list[tuple[str, str]]  # names and states of the scalars
+    variants: dict[tuple, str]  # states of the others -> variant
+
+
 class Shredder:
-    """Turns records to rows of nodes; what it knows of variants stays from batch to batch."""
+    """Turns records to rows of nodes; what it knows of layouts and variants stays from batch to batch."""
 
     def __init__(self, levels: tuple[Level, ...]) -> None:
         self.levels = levels
-        self._variants: dict[tuple, str] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._layouts: dict[tuple, _Layout] = {}
+        self._lists: dict[frozenset, str] = {}
+        self._known = 0
 
     def _start(self) -> None:
+        if self._known > KNOWN:
+            self._forget()
         self.types: list[str] = []
         self.places: list[int] = []
         self.names: list[str] = []
@@ -125,66 +148,106 @@ class Shredder:
         self.field_values: list[str | None] = []
         self.field_ends = [0]
 
-    def _classify(self, node: dict, child: str | None) -> tuple[str, dict[str, str | None]]:
-        """The state of an object, and its fields; an object within it gives fields with a dot, deeper values stay JSON."""
-        parts, fields = [], {}
-        for key, value in node.items():
-            kind = type(value)
-            low = key.lower()
-            if value is None or (low in fields and low != key):
-                continue
-            state = _SCALARS.get(kind)
-            if low == child:
-                items = value if kind is list else [value]
-                if held := _list_state(items):
-                    parts.append((low, held))
-            elif state is not None:
-                parts.append((low, state))
-                fields[low] = value if kind is str else "true" if value is True else "false" if value is False else repr(value)
-            elif kind is list:
-                if held := _list_state(value):
-                    parts.append((low, held))
-                    fields[low] = _written(value)
+    def _list_state(self, items: list) -> str:
+        """The state of a list: its items' states but null, each once, and ``*``; empty if it has no others."""
+        kinds = frozenset(map(type, items))
+        known = self._lists.get(kinds)
+        if known is None:
+            states = sorted({_STATES[k] for k in kinds if k is not type(None)})
+            known = self._lists[kinds] = "|".join(states) + "*" if states else ""
+        return known
+
+    def _layout(self, depth: int, node: dict) -> _Layout:
+        child = self.levels[depth + 1].key if depth + 1 < len(self.levels) else None
+        label = self.levels[depth].name
+        made = _Layout([], [], [], -1, -1, [], {})
+        low = [k.lower() for k in node]
+        for at, (key, value) in enumerate(node.items()):
+            name, kind = low[at], _KINDS[type(value)]
+            if kind == _NULL or (name != key and name in node) or name in low[:at] and name != key:
+                continue  # of keys that differ in letter case only, the lower-case one, else the first
+            if name == child:
+                made.child = at
+            elif kind in (_LIST, _OBJECT):
+                made.others.append((at, name, kind))
+            else:
+                made.scalars.append((at, kind == _TEXT))
+                made.names.append(name)
+                made.parts.append((name, _STATES[type(value)]))
+                if name == label and kind == _TEXT:
+                    made.name = at
+        self._known += 1
+        return made
+
+    def _fields(self, layout: _Layout, values: list) -> str:
+        """Takes down the fields of an object and returns its variant; an object within it gives fields with a dot."""
+        self.field_keys += layout.names
+        self.field_values += [values[at] if text else _written(values[at]) for at, text in layout.scalars]
+        states: list = []
+        if layout.child >= 0:
+            held = values[layout.child]
+            states.append(self._list_state(held if type(held) is list else [held]))
+        for at, name, kind in layout.others:
+            value = values[at]
+            if kind == _LIST:
+                state = self._list_state(value)
+                states.append(state)
+                if state:
+                    self.field_keys.append(name)
+                    self.field_values.append(_written(value))
             else:
                 for inner, x in value.items():
                     if x is not None:
-                        name, state = f"{low}.{inner.lower()}", _SCALARS.get(type(x))
-                        parts.append((name, state or ("object" if type(x) is dict else _list_state(x) or "list")))
-                        fields[name] = x if type(x) is str else _written(x)
-        known = tuple(parts)
-        variant = self._variants.get(known)
+                        state = self._list_state(x) or "list" if type(x) is list else _STATES[type(x)]
+                        inner = f"{name}.{inner.lower()}"
+                        states.append((inner, state))
+                        self.field_keys.append(inner)
+                        self.field_values.append(_written(x))
+        found = tuple(states)
+        variant = layout.variants.get(found)
         if variant is None:
-            variant = self._variants[known] = "{" + ", ".join(f"{k}: {s}" for k, s in sorted(dict(parts).items())) + "}"
-        return variant, fields
-
-    def _node(self, level: Level, places: list[int], name: str, variant: str, fields: dict[str, str | None]) -> None:
+            variant = layout.variants[found] = self._variant(layout, states)
+        return variant
+
+    def _variant(self, layout: _Layout, states: list) -> str:
+        self._known += 1
+        parts = dict(layout.parts)
+        parts.update(s for s in states if isinstance(s, tuple))
+        plain = [s for s in states if isinstance(s, str)]
+        named = ([self._child_key] if layout.child >= 0 else []) + [n for _, n, kind in layout.others if kind == _LIST]
+        parts.update((k, s) for k, s in zip(named, plain) if s)
+        return "{" + ", ".join(f"{k}: {s}" for k, s in sorted(parts.items())) + "}"
+
+    def _node(self, level: Level, places: tuple[int, ...], name: str) -> None:
         self.types.append(level.type)
         self.places += places
         self.places += [-1] * (len(self.levels) - len(places))
-        self.names.append(name)
-        self.variants.append(variant)
-        self.field_keys += fields
-        self.field_values += fields.values()
-        self.field_ends.append(len(self.field_keys))
+        self.names.append(name.lower() if level.lower else name)
 
-    def _items(self, value: object, depth: int, places: list[int]) -> None:
+    def _items(self, value: object, depth: int, places: tuple[int, ...]) -> None:
         level = self.levels[depth]
-        child = self.levels[depth + 1].key if depth + 1 < len(self.levels) else None
-        for i, item in enumerate(value if isinstance(value, list) else () if value is None else (value,)):
-            if isinstance(item, dict):
-                variant, fields = self._classify(item, child)
-                label = fields.get(level.name) if level.name and f"{level.name}: text" in variant else None
-                name = label.strip() if label else ""
+        layouts = self._layouts
+        for i, item in enumerate(value if type(value) is list else () if value is None else (value,)):
+            if type(item) is dict:
+                values = list(item.values())
+                shape = (depth, tuple(item), tuple(map(type, values)))
+                layout = layouts.get(shape)
+                if layout is None:
+                    layout = layouts[shape] = self._layout(depth, item)
+                name = values[layout.name].strip() if layout.name >= 0 else ""
                 if level.named and not name:
                     continue
-                at = [*places, i]
-                self._node(level, at, name.lower() if level.lower else name, variant, fields)
-                if child is not None:
-                    own = child if child in item else next((k for k in item if k.lower() == child), None)
-                    if own is not None:
-                        self._items(item[own], depth + 1, at)
-            elif level.texts and isinstance(item, str) and (name := item.strip()):
-                self._node(level, [*places, i], name.lower() if level.lower else name, "text", {})
+                at = (*places, i)
+                self._node(level, at, name)
+                self._child_key = self.levels[depth + 1].key if depth + 1 < len(self.levels) else ""
+                self.variants.append(self._fields(layout, values))
+                self.field_ends.append(len(self.field_keys))
+                if layout.child >= 0:
+                    self._items(values[layout.child], depth + 1, at)
+            elif level.texts and type(item) is str and (name := item.strip()):
+                self._node(level, (*places, i), name)
+                self.variants.append("text")
+                self.field_ends.append(len(self.field_keys))
 
     def nodes(self, texts: list[str | None]) -> pa.ListArray:
         """The nodes of each text's record, parents before children; none where it holds no record."""
@@ -192,7 +255,7 @@ class Shredder:
         ends = [0]
         for text in texts:
             if text and (found := find_record(text, self.levels[0].key)) is not None:
-                self._items(found[0][found[1]], 0, [])
+                self._items(found[0][found[1]], 0, ())
             ends.append(len(self.types))
         whole = lambda xs: pa.array(xs, pa.int32())
         size = len(self.levels)
@@ -203,6 +266,17 @@ class Shredder:
         return pa.ListArray.from_arrays(whole(ends), rows)
 
 
+_shredders: dict[tuple[Level, ...], Shredder] = {}
+
+
+def worker_shredder(levels: tuple[Level, ...]) -> Shredder:
+    """This worker's shredder of such records; it outlives tasks."""
+    if levels not in _shredders:
+        _shredders.clear()
+        _shredders[levels] = Shredder(levels)
+    return _shredders[levels]
+
+
 def position(level: Level) -> str:
     """The column that holds a node's place among its parent's nodes of a type."""
     return f"{level.type}_no"
@@ -219,8 +293,7 @@ def shred(df: DataFrame, text: str, keys: list[str], levels: tuple[Level, ...] =
 
     @F.arrow_udf(ArrayType(StructType.fromDDL(NODE)))
     def nodes(texts: pa.Array) -> pa.Array:
-        shredder = Shredder(levels)
-        return shredder.nodes(texts.to_pylist())
+        return worker_shredder(levels).nodes(texts.to_pylist())
 
     exploded = df.select(*[F.col(f"`{k}`") for k in keys], F.explode(nodes(F.col(text))).alias("__node"))
     taken = ["node_type", *map(position, levels), "node_name", "variant", "fields"]
