@@ -7,12 +7,13 @@ from tarnwell.llm.cooccurrence import p3_found
 from tarnwell.llm.packing import p8_containers
 from tarnwell.llm.reading import p9_found, p9_levels
 from tarnwell.llm.survivors import p6_found
-from tarnwell.llm.term_counts import p1_counts, p1_found
+from tarnwell.llm.term_counts import p1_counts, p1_found, p1_live
 from tarnwell.llm.tokenize import p7_ids
 
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
+    "p1_live": p1_live,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_links": p4_links,
@@ -56,6 +57,9 @@ h AS (SELECT id, CAST('0x' || d AS UBIGINT) AS bits FROM digits WHERE regexp_mat
 
 ORACLES = {
     "p1_counts": f"WITH {_COUNTS} SELECT * FROM c",
+    "p1_live": f"""WITH gone AS (SELECT id FROM {_CURRENT} WHERE missing = 1 OR deleted = 1),
+r AS (SELECT * FROM ({_RECORDS}) WHERE term IS NOT NULL AND (image_id IS NULL OR image_id NOT IN (FROM gone)))
+SELECT field, term, count(*) AS occurrences, count(DISTINCT image_id) AS images FROM r GROUP BY field, term""",
     "p1_found": f"""WITH {_COUNTS}
 SELECT field, term, 'rare' AS mark FROM c WHERE images < 5
 UNION ALL SELECT field, term, 'common' FROM c JOIN n USING (field) WHERE images * 4 > total""",

@@ -1,12 +1,18 @@
-"""Best representative of each group of duplicates, by skyline selection.
-
-Completeness is the set of fields a record offers; one record dominates another when it offers at least its fields, is
-at least as trusted and is more recent (of equally recent ones the smaller id counts as more recent, so that no two
-records tie). Records of one group that agree in trust and offered
-fields are first reduced, map-side, to the most recent, which dominates the others; so at most (levels of trust) x
-(sets of fields) candidates of a group ever meet, however large the group. The undominated ones form the skyline and
-the lexicographic policy (trust, recency, id) resolves it. Since a record is only dominated by one that offers all its
-fields, each field's best-ranked record is in the first layer, and further layers have nothing left to fill.
+"""Best representative of each group of duplicates, by skyline selection and dominance layers.
+
+One record dominates another when it is at least as complete, at least as trusted and more recent (of equally recent ones
+the smaller id counts as more recent, so that no two records tie). The undominated records are the first layer, the
+skyline; those dominated by none but the first layer's are the second, and so on. The keeper comes from the skyline by a
+lexicographic policy; each field is taken from the first layer that has a value for it, the best-ranked record within
+the layer (trust, recency, id), so what the skyline lacks is filled from the layers behind it.
+
+Completeness is either the set of fields that a record offers (``fields``: a dominating record offers them all) or their
+number (``number``). With sets a field's best-ranked record is never dominated by one that lacks the field, so layers
+give the best-ranked value of every field; with numbers a fuller record goes first and layers fill what it lacks.
+
+Records of one group that agree in trust and offered fields are first reduced, map-side, to the most recent, which
+dominates the others and offers what they do; so at most (levels of trust) x (sets of fields) candidates of a group
+ever meet, however large the group.
 """
 
 from __future__ import annotations
@@ -25,14 +31,15 @@ def usable(value: Column) -> Column:
     return F.when(value > 0, value.cast("bigint"))
 
 
-def survivors(df: DataFrame, group: str, key: str, trust: str, recency: str, fields: list[str]) -> DataFrame:
-    """One row for each ``group`` of two or more records: ``keeper_id``, the best value of each field, group's size and skyline's.
+def survivors(df: DataFrame, group: str, key: str, trust: str, recency: str, fields: list[str], complete: str = "fields") -> DataFrame:
+    """One row for each ``group`` of two or more records: ``keeper_id``, the value of each field, group's size, skyline's and number of layers.
 
-    Fields must be null where unusable. Records rank by trust (high first), recency (late first) and key (small
-    first); null trust or recency ranks lowest. A field gets the value of the best-ranked record that has one, null if
-    none has; the keeper is the record with most fields, then the best-ranked. Records without group or key are left
-    out, an empty table gives no rows.
+    Fields must be null where unusable. Records rank by trust (high first), recency (late first) and key (small first);
+    null trust or recency ranks lowest. The keeper is the record of the skyline with most fields, then the best-ranked. A
+    field that no record has is null. Records without group or key are left out, an empty table gives no rows.
     """
+    if complete not in ("fields", "number"):
+        raise ValueError(f"completeness is compared by 'fields' or 'number', not {complete!r}")
     mask = reduce(lambda a, b: a + b, [F.when(F.col(f).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(fields)])
     late = F.col(recency).cast("double")
     late = F.when(late.isNull() | F.isnan(late), F.lit(float("-inf"))).otherwise(late)
@@ -40,25 +47,41 @@ def survivors(df: DataFrame, group: str, key: str, trust: str, recency: str, fie
         F.col(group).alias("group"),
         F.coalesce(F.col(trust).cast("long"), F.lit(-(2**62))).alias("trust"),
         mask.alias("mask"),
-        F.struct(late.alias("late"), (-F.col(key)).alias("minus_id"), *[F.col(f).cast("bigint").alias(f) for f in fields]).alias("row"),
+        F.struct(late.alias("late"), (-F.col(key)).alias("minus_id"), *[F.col(f).cast("bigint").alias(f"f{i}") for i, f in enumerate(fields)]).alias("row"),
     )
     cells = rows.groupBy("group", "trust", "mask").agg(F.max("row").alias("row"), F.count(F.lit(1)).alias("n"))
-    candidate = F.struct("trust", "row.late", "row.minus_id", "mask", *[F.col(f"row.`{f}`").alias(f) for f in fields])
-    met = cells.groupBy("group").agg(F.collect_list(candidate).alias("met"), F.sum("n").alias("records")).where("records > 1")
+    candidate = F.struct("trust", "row.late", "row.minus_id", "mask", *[F.col(f"row.f{i}").alias(f"f{i}") for i in range(len(fields))])
+    met = cells.groupBy("group").agg(F.sort_array(F.collect_list(candidate), asc=False).alias("met"), F.sum("n").alias("records")).where("records > 1")
 
     def dominates(s: Column, r: Column) -> Column:
         later = (s["late"] > r["late"]) | ((s["late"] == r["late"]) & (s["minus_id"] > r["minus_id"]))
-        return (s["mask"].bitwiseAND(r["mask"]) == r["mask"]) & (s["trust"] >= r["trust"]) & later
-
-    skyline = F.filter("met", lambda r: ~F.exists("met", lambda s: dominates(s, r)))
-    ranked = met.select("group", "records", F.sort_array(skyline, asc=False).alias("best"))
-    keeper = F.element_at(
-        F.sort_array(F.transform("best", lambda r: F.struct(F.bit_count(r["mask"]).alias("fields"), r.alias("row"))), asc=False), 1
-    )["row"]
-    offering = lambda f: F.filter("best", lambda r: r[f].isNotNull())
-    values = [F.try_element_at(offering(f), F.lit(1))[f].alias(f) for f in fields]
-    return ranked.select(
-        F.col("group").alias(group), (-keeper["minus_id"]).alias("keeper_id"), *values, "records", F.size("best").alias("skyline")
+        full = s["mask"].bitwiseAND(r["mask"]) == r["mask"] if complete == "fields" else F.bit_count(s["mask"]) >= F.bit_count(r["mask"])
+        return full & (s["trust"] >= r["trust"]) & later
+
+    # By rank, every record comes after all that dominate it, so one pass over them knows each one's layer.
+    kind = met.schema["met"].dataType.elementType.simpleString()
+    none_yet = F.array().cast(f"array<struct<row:{kind},layer:int>>")
+
+    def placed(so_far: Column, r: Column) -> Column:
+        above = F.transform(F.filter(so_far, lambda s: dominates(s["row"], r)), lambda s: s["layer"])
+        return F.concat(so_far, F.array(F.struct(r.alias("row"), (F.coalesce(F.array_max(above), F.lit(0)) + 1).cast("int").alias("layer"))))
+
+    layered = met.select("group", "records", F.explode(F.array(F.aggregate("met", none_yet, placed))).alias("all"))
+    skyline = F.filter("all", lambda x: x["layer"] == 1)
+    keeper = F.element_at(F.sort_array(F.transform(skyline, lambda x: F.struct(F.bit_count(x["row"]["mask"]).alias("fields"), x["row"])), asc=False), 1)["row"]
+
+    def filled(i: int) -> Column:
+        offers = F.filter("all", lambda x: x["row"][f"f{i}"].isNotNull())
+        ranked = lambda x: F.struct((-x["layer"]).alias("layer"), x["row"].alias("row"))
+        return F.array_max(F.transform(offers, ranked))["row"][f"f{i}"]
+
+    return layered.select(
+        F.col("group").alias(group),
+        (-keeper["minus_id"]).alias("keeper_id"),
+        *[filled(i).alias(f) for i, f in enumerate(fields)],
+        "records",
+        F.size(skyline).alias("skyline"),
+        F.array_max(F.transform("all", lambda x: x["layer"])).alias("layers"),
     )
 
 

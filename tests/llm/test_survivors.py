@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tarnwell.llm.survivors import survivors
 
 SCHEMA = "g string, id long, t int, at double, width long, height long, size long, trust string, mask int, records int"
@@ -33,3 +35,49 @@ def test_skyline_counts_undominated(spark):
     df = spark.createDataFrame(rows, "g string, id long, t int, at double, width long, height long, size long")
     row = survivors(df, "g", "id", "t", "at", ["width", "height", "size"]).head()
     assert (row["keeper_id"], row["skyline"], row["width"], row["size"]) == (4, 3, 1, 1)
+
+
+def test_layers_fill_what_the_skyline_lacks(spark):
+    rows = [
+        ("g", 1, 5, 2.0, 7, 8, None),  # dominates all: most trusted and latest, and no record has more than two fields
+        ("g", 2, 4, 1.0, 1, None, 30),  # second layer: fills the size
+        ("g", 3, 3, 0.5, None, 2, 40),  # third layer
+        ("one", 9, 1, 1.0, 1, 1, 1),
+        ("h", 4, 5, 2.0, None, None, None), ("h", 5, 4, 1.0, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "g string, id long, t int, at double, width long, height long, size long")
+    fields = ["width", "height", "size"]
+    got = {r["g"]: r for r in survivors(df, "g", "id", "t", "at", fields, complete="number").collect()}
+    g = got["g"]
+    assert (g["keeper_id"], g["width"], g["height"], g["size"], g["skyline"], g["layers"]) == (1, 7, 8, 30, 1, 3)
+    assert (got["h"]["keeper_id"], got["h"]["size"], got["h"]["records"]) == (4, None, 2) and "one" not in got
+    sets = survivors(df.where("g = 'g'"), "g", "id", "t", "at", fields).head()
+    assert (sets["keeper_id"], sets["size"], sets["skyline"], sets["layers"]) == (1, 30, 3, 1)
+
+
+def layers_by_hand(rows, complete):
+    """Pareto layers by definition, over all records of one group: (id, trust, at, values)."""
+    left, layers = list(rows), []
+    full = lambda s, r: all(a is not None or b is None for a, b in zip(s[3], r[3])) if complete == "fields" else sum(a is not None for a in s[3]) >= sum(b is not None for b in r[3])
+    later = lambda s, r: (s[2], -s[0]) > (r[2], -r[0])
+    while left:
+        best = [r for r in left if not any(s is not r and full(s, r) and s[1] >= r[1] and later(s, r) for s in left)]
+        layers.append(best)
+        left = [r for r in left if r not in best]
+    return layers
+
+
+@pytest.mark.parametrize("complete", ["fields", "number"])
+def test_layers_against_definition(spark, complete):
+    rng = random.Random(9)
+    rows = [(f"g{i % 12}", i, rng.randrange(1, 4), float(rng.randrange(4)), *(rng.choice([None, None, rng.randrange(1, 99)]) for _ in range(3))) for i in range(150)]
+    df = spark.createDataFrame(rows, "g string, id long, t int, at double, width long, height long, size long")
+    for r in survivors(df, "g", "id", "t", "at", ["width", "height", "size"], complete).collect():
+        layers = layers_by_hand([(x[1], x[2], x[3], x[4:]) for x in rows if x[0] == r["g"]], complete)
+        rank = lambda x: (x[1], x[2], -x[0])
+        keeper = max(layers[0], key=lambda x: (sum(v is not None for v in x[3]), rank(x)))
+        want = []
+        for i in range(3):
+            offers = next(([x for x in layer if x[3][i] is not None] for layer in layers if any(x[3][i] is not None for x in layer)), [])
+            want.append(max(offers, key=rank)[3][i] if offers else None)
+        assert (r["keeper_id"], r["width"], r["height"], r["size"]) == (keeper[0], *want)

@@ -4,6 +4,8 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from tarnwell.llm.cooccurrence import cooccurrence
 from tarnwell.llm.term_counts import TermCounts, p1_counts, signed_changes
 from tarnwell.session import new_table_path
@@ -23,7 +25,7 @@ def brute(records):
 
 def test_increments_equal_recount(spark):
     rng = random.Random(3)
-    counts = TermCounts(spark, new_table_path(spark, "test"), buckets=4)
+    counts = TermCounts(spark, new_table_path(spark, "test"), segments=2)
     assert counts.terms().count() == 0 and counts.marked().count() == 0
     old, rows = None, []
     for step in range(4):
@@ -46,16 +48,35 @@ def test_increments_equal_recount(spark):
     counts.update(signed_changes(new.where("false"), None, ["field", "record_id"]))
 
 
-def test_untouched_buckets_stay(spark):
-    counts = TermCounts(spark, new_table_path(spark, "test"), buckets=8)
+def test_updates_append_and_readers_are_kept(spark):
+    counts = TermCounts(spark, new_table_path(spark, "test"), segments=3)
     rows = [("f", k, k % 9, chr(97 + k % 20)) for k in range(60)]
     counts.update(signed_changes(spark.createDataFrame(rows, RECORD), None, ["record_id"]))
-    for step in range(3):  # each touches few buckets
+    before, first = counts.terms(), counts._state["postings"][0]
+    want_before = brute(rows)[0]
+    for step in range(5):
         old, rows = rows, rows[:-1] + [("f", 1000 + step, step, "z")]
         counts.update(signed_changes(spark.createDataFrame(rows, RECORD), spark.createDataFrame(old, RECORD), ["record_id"]))
-        want, fields = brute(rows)
-        assert {tuple(r) for r in counts.terms().select("field", "term", "occurrences", "images").collect()} == want
-        assert {r["field"]: r["images"] for r in counts.fields().collect()} == fields
+        assert {tuple(r) for r in counts.terms().select("field", "term", "occurrences", "images").collect()} == brute(rows)[0]
+        assert {r["field"]: r["images"] for r in counts.fields().collect()} == brute(rows)[1]
+        assert len(counts._state["postings"]) <= 3
+        if step < 3:  # merged in the third update, removed in the fourth
+            assert (first in counts._state["postings"]) == (step < 2)
+            assert {tuple(r) for r in before.select("field", "term", "occurrences", "images").collect()} == want_before
+    counts.drop()
+    assert TermCounts(spark, counts.path).terms().count() == 0
+
+
+def test_lookup_of_many_buckets(spark, monkeypatch):
+    from tarnwell.llm import term_counts
+
+    monkeypatch.setattr(term_counts, "NAMED_BUCKETS", 2)
+    counts = TermCounts(spark, new_table_path(spark, "test"))
+    rows = [("f", k, k, "abc"[k % 3]) for k in range(30)]
+    counts.update(signed_changes(spark.createDataFrame(rows, RECORD), None, ["record_id"]))
+    more = [("f", 100 + k, k, "a") for k in range(20)]
+    counts.update(signed_changes(spark.createDataFrame(more, RECORD), None, ["record_id"]))
+    assert {tuple(r) for r in counts.terms().select("field", "term", "occurrences", "images").collect()} == brute(rows + more)[0]
 
 
 def test_pairs(spark):
@@ -79,8 +100,8 @@ def test_pairs(spark):
 
 def test_records_without_id_are_told_apart_by_content(spark, tmp_path):
     rows = [(None, 1, "cat"), (None, 1, "cat"), (None, 2, "cat"), (None, 2, "dog"), (5, 3, "dog"), (5, 3, "dog")]
-    spark.createDataFrame(rows, "id long, image_id long, class string").write.parquet(f"{tmp_path}/detections.parquet")
-    spark.createDataFrame([(None, 1, "yes"), (None, 2, "no")], "id long, image_id long, verdict string").write.parquet(f"{tmp_path}/adjudications.parquet")
+    spark.createDataFrame(rows, "id long, image_id long, class string").withColumn("created_at", F.lit(1.0)).write.parquet(f"{tmp_path}/detections.parquet")
+    spark.createDataFrame([(None, 1, "yes"), (None, 2, "no")], "id long, image_id long, verdict string").withColumn("created_at", F.lit(None).cast("double")).write.parquet(f"{tmp_path}/adjudications.parquet")
     spark.createDataFrame([], "id long, category string, updated_at double").write.parquet(f"{tmp_path}/images.parquet")
     got = {(r["field"], r["term"]): (r["occurrences"], r["images"]) for r in p1_counts(spark, str(tmp_path)).collect()}
     assert got == {("detections.class", "cat"): (2, 2), ("detections.class", "dog"): (2, 2), ("adjudications.verdict", "yes"): (1, 1), ("adjudications.verdict", "no"): (1, 1)}
