@@ -39,7 +39,7 @@ def images(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 def boxes(spark: SparkSession, folder: str) -> DataFrame:
     """id, image_id, class, confidence of each detection once, without those that lack one of them."""
     rows = read_table(spark, folder, "detections").select("id", "image_id", label(F.col("class")).alias("class"), "confidence")
-    return rows.dropna().dropDuplicates(["id"])
+    return rows.dropna().distinct()  # repeats are equal, so no column has to be carried beside the key
 
 
 def verdicts(spark: SparkSession, folder: str) -> DataFrame:

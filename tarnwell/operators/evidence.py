@@ -42,7 +42,11 @@ def decide(images: DataFrame, boxes: DataFrame, rules: RuleSet) -> DataFrame:
     ``images`` has unique ``image_id``; ``boxes`` image_id, class and confidence. The first enabled rule that matches
     decides; review is independent of rules. Boxes without class, image or confidence are no evidence.
     """
-    seen = per_class(boxes.where("class is not null and image_id is not null and confidence is not null"), rules)
+    return _judge(images, per_class(boxes.where("class is not null and image_id is not null and confidence is not null"), rules), rules)
+
+
+def _judge(images: DataFrame, seen: DataFrame, rules: RuleSet) -> DataFrame:
+    """The decisions that follow from the counts of ``per_class``."""
     counts = [
         F.sum(F.when(F.lit(cls is None) | (F.col("class") == F.lit(cls or "")), F.col(f"`{_at(t)}`")).otherwise(0)).alias(_name((cls, t)))
         for cls, t in rules.counts()
@@ -91,8 +95,36 @@ def adjudicated(boxes: DataFrame, verdicts: DataFrame, rules: RuleSet) -> DataFr
 
 
 def recheck(images: DataFrame, boxes: DataFrame, verdicts: DataFrame, rules: RuleSet) -> DataFrame:
-    """Stored evidence replayed: the decisions that the rules make of the boxes as verdicts leave them, in one job."""
-    return decide(images, adjudicated(boxes, verdicts, rules), rules)
+    """Stored evidence replayed: the decisions that the rules make of the boxes as verdicts leave them.
+
+    The same as ``decide`` on ``adjudicated``, without ever building the boxes that verdicts leave: a verdict only moves
+    the counts of its image and class. They are counted first, map-side, with the number of settled boxes and the best
+    unsettled one beside them; ``absent`` leaves the settled ones, ``present`` counts the best unsettled one at its new
+    confidence instead of its own. So each table is read once and the join is one of images and classes, not of boxes.
+    """
+    thresholds = sorted({t for _, t in rules.counts()})
+    known = boxes.where("class is not null and image_id is not null and confidence is not null")
+    high = rules.band_column(F.col("class"), "confidence")
+    weak = F.col("confidence") < high
+    seen = known.groupBy("image_id", "class").agg(
+        F.max("confidence").alias("best"),
+        F.count_if(~weak).alias("__settled"),
+        F.max(F.when(weak, F.col("confidence"))).alias("__weak"),
+        *[F.count_if(F.col("confidence") >= t).alias(_at(t)) for t in thresholds],
+    )
+    said = verdicts.select("image_id", "class", "verdict", "verdict_confidence")
+    both = seen.join(said, ["image_id", "class"], "left")
+    absent = F.coalesce(F.col("verdict") == "absent", F.lit(False))
+    raised = F.when((F.col("verdict") == "present") & F.col("__weak").isNotNull(), F.greatest(high, F.col("verdict_confidence")))
+
+    def after(t: float):
+        count, settled = F.col(f"`{_at(t)}`"), F.col("__settled")
+        moved = (raised >= t).cast("long") - (F.col("__weak") >= t).cast("long")
+        return F.when(absent, F.least(count, settled)).otherwise(count + F.coalesce(moved, F.lit(0))).alias(_at(t))
+
+    left = both.where(~absent | (F.col("__settled") > 0))  # a class of which nothing is left is no evidence
+    adjusted = left.select("image_id", "class", F.greatest("best", raised).alias("best"), *[after(t) for t in thresholds])
+    return _judge(images, adjusted, rules)
 
 
 def merge_frames(frames: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnwell.plans.rules import Rule, RuleSet
 from tarnwell.schema import DONE
-from tarnwell.session import materialize
+from tarnwell.session import drop_table, materialize
 
 
 @dataclass(frozen=True)
@@ -80,16 +80,20 @@ def allocate_names(rows: DataFrame) -> DataFrame:
     order = F.struct("image_id", "seq")
     first = rows.groupBy("directory", "filename").agg(F.min(order).alias("first"))
     marked = rows.join(first, ["directory", "filename"]).withColumn("keeps", order == F.col("first")).drop("first")
-    marked = materialize(marked, "names")
+    held: list[DataFrame] = []
     while True:
         named = marked.withColumn("name", F.when(F.col("keeps"), F.col("filename")).otherwise(_suffixed(F.col("filename"), F.col("image_id"))))
         made = named.where("not keeps").groupBy("directory", "name").agg(F.min(order).alias("made")).withColumnRenamed("name", "filename")
         late = marked.where("keeps").join(made, ["directory", "filename"]).where(order > F.col("made")).select("image_id", "seq", F.lit(True).alias("__late"))
-        if late.isEmpty():
+        if late.isEmpty():  # nearly always at once, and then nothing was written
             return named.drop("keeps")
         marked = materialize(
             marked.join(late, ["image_id", "seq"], "left").withColumn("keeps", F.col("keeps") & F.col("__late").isNull()).drop("__late"), "names"
         )
+        held.append(marked)
+        for old in held[:-1]:
+            drop_table(old)
+        held = held[-1:]
 
 
 def actionable(images: DataFrame) -> DataFrame:
@@ -130,6 +134,12 @@ def dry_run(plan: DataFrame) -> DataFrame:
     return plan.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+def apply_tally(results: DataFrame) -> DataFrame:
+    """``outcome, action, n`` of a plan carried out, or judged by ``outcomes``; every error counts as ``error``."""
+    outcome = F.when(F.startswith("outcome", F.lit("error")), "error").otherwise(F.col("outcome"))
+    return results.groupBy(outcome.alias("outcome"), "action").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _tracked(plan: DataFrame) -> DataFrame:
     kinds = [k for k, a in ACTIONS.items() if a.tracked]
     return plan.where(F.col("action").isin(*kinds)).select(F.col("target").alias("link_path"), "image_id").distinct()
@@ -150,6 +160,16 @@ def links_of_root(links: DataFrame, images: DataFrame, root: str) -> DataFrame:
     return links.join(images.where(F.col("root") == root).select(F.col("id").alias("image_id")), "image_id", "left_semi").select(*links.columns)
 
 
+def forget_links(links: DataFrame, paths: DataFrame) -> DataFrame:
+    """Recorded outputs without those of some paths (``link_path``)."""
+    return links.join(paths.select("link_path").distinct(), "link_path", "left_anti").select(*links.columns)
+
+
+def clear_links(links: DataFrame) -> DataFrame:
+    """No recorded outputs; the table keeps its columns."""
+    return links.where(F.lit(False))
+
+
 def record_links(links: DataFrame, made: DataFrame) -> DataFrame:
     """Recorded outputs with new ones (link_path, image_id and more); the new one holds where a path is known."""
     kept = links.join(made.select("link_path").distinct(), "link_path", "left_anti").select(*links.columns)
@@ -177,6 +197,5 @@ def verify(links: DataFrame, images: DataFrame, present: DataFrame) -> DataFrame
     outputs = links.select(F.col("link_path").alias("path")).join(there, "path", "left")
     sources = images.where("missing = 0 and deleted = 0").select("path").join(there, "path", "left")
     ok = F.col("__there").isNotNull()
-    return outputs.agg(F.count_if(ok).alias("copies_ok"), F.count_if(~ok).alias("copies_missing")).join(
-        F.broadcast(sources.agg(F.count_if(~ok).alias("sources_missing")))  # one row
-    )
+    both = outputs.select(ok.alias("__output"), F.lit(None).cast("boolean").alias("__source")).unionByName(sources.select(F.lit(None).cast("boolean").alias("__output"), ok.alias("__source")))
+    return both.agg(F.count_if(F.col("__output")).alias("copies_ok"), F.count_if(~F.col("__output")).alias("copies_missing"), F.count_if(~F.col("__source")).alias("sources_missing"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,20 +29,59 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where none is set, one of our own for local runs."""
+    """The folder named in ``spark.checkpoint.dir``; only where none is set, one of our own, and that in local mode only.
+
+    Elsewhere each executor would write to a disk that the others don't see, so the setting is required there.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = getattr(context, "_tarnwell_shared", None)
         if named is None:
-            named = "file://" + tempfile.mkdtemp(prefix="tarnwell-")
-            context._tarnwell_shared = named
+            made = tempfile.mkdtemp(prefix="tarnwell-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            context._tarnwell_shared = named = "file://" + made
     return named.rstrip("/")
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    """A path nobody else uses, in the shared folder."""
-    return f"{shared_dir(spark)}/tarnwell/{name}-{uuid.uuid4().hex}"
+    """A path nobody else uses, in the shared folder; what is left there at the end of the process is removed."""
+    path = f"{shared_dir(spark)}/tarnwell/{name}-{uuid.uuid4().hex}"
+    _owned.setdefault(spark, set()).add(path)
+    return path
+
+
+#: Session -> the paths of its tables that haven't been dropped.
+_owned: dict[SparkSession, set[str]] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _owned.get(spark, set()).discard(path)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Removes all tables that the operators left for their results to be read from; returns how many.
+
+    To be called when the results of a session's queries have been read or written; at the end of the process it happens
+    by itself.
+    """
+    paths = list(_owned.get(spark, ()))
+    for path in paths:
+        _remove(spark, path)
+    return len(paths)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for spark in list(_owned):
+        try:
+            drop_tables(spark)
+        except Exception:  # the session has ended; its storage can't be reached any more
+            return
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -56,11 +97,8 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
 
 
 def drop_table(df: DataFrame) -> None:
-    """Removes the files of a table made by ``materialize``."""
+    """Removes the files of a table made by ``materialize`` that nothing reads any more."""
     path = getattr(df, "_tarnwell_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-    df._tarnwell_path = None
+    if path is not None:
+        _remove(df.sparkSession, path)
+        df._tarnwell_path = None

@@ -6,14 +6,16 @@ import hashlib
 import json
 import os
 import shutil
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.errors import RuleError
 from tarnwell.operators import evidence, export
+from tarnwell.plans import actions
 from tarnwell.plans.rules import starter
-from tarnwell.sources import effects, files, providers, settings
+from tarnwell.sources import effects, files, headers, providers, settings
 from tarnwell.streaming import stages
 from test_scan_state import images
 
@@ -49,9 +51,9 @@ def test_settings(tmp_path):
     assert env == {"A": "1", "B": "x y", "C": "z", "D": ""}
     s = settings.Settings({"A": " ", "L": "b, c"}, {"A": "7", "S": "JPG,.png", "F": "yes"})
     assert (s.number("A", 1), s.listed("L"), s.suffixes("S", ""), s.flag("F", False), s.flag("G", True), s.text("H", "d"), s.source("A"), s.source("H")) == (7, ["b", "c"], {".jpg", ".png"}, True, True, "d", "environment", "default")
-    assert [settings.resolve_tag(*x) for x in (("m", ["m"]), ("m", ["m:latest", "mm"]), ("m", ["mz", "ma"]))] == ["m", "m:latest", "ma"]
+    assert [settings.resolve_tag(*x) for x in (("m", ["m"]), ("m", ["m:latest", "mm"]), ("m", ["ma", "m:z", "m:8b"]), ("x:7b", ["x:8b", "xy:7b"]))] == ["m", "m:latest", "m:8b", "x:8b"]
     with pytest.raises(LookupError):
-        settings.resolve_tag("q", ["m"])
+        settings.resolve_tag("llava", ["llava-llama3:8b"])
 
 
 def test_exports(spark, tmp_path):
@@ -251,14 +253,156 @@ def test_runs_stop(spark):
     assert stopper.stopped and stages.run_all([lambda: done.append(9)], stopper) == [] and 9 not in done
 
 
+STEP = "image_id long, seq int, action string, source string, target string"
+
+
 def test_carrying_out_a_plan(spark, library):
     out = library + "/made"
     steps = [(1, 0, "copy", library + "/a.jpg", out + "/Review/a.jpg"), (1, 1, "move", library + "/a.jpg", out + "/Cat/a.jpg"), (2, 1, "move", library + "/b.JPG", out + "/Cat/taken.jpg"), (3, 1, "copy", library + "/none.jpg", out + "/x.jpg")]
     os.makedirs(out + "/Cat")
     open(out + "/Cat/taken.jpg", "w").close()
-    assert effects.unwritable(out) is None and effects.unwritable(library + "/a.jpg/x")
-    plan = spark.createDataFrame(steps, "image_id long, seq int, action string, source string, target string")
-    got = {(r["image_id"], r["action"]): (r["target"], r["outcome"]) for r in effects.execute(plan).collect()}
+    assert effects.why_not_writable(out) is None and effects.why_not_writable(library + "/a.jpg/x")
+    plan = spark.createDataFrame(steps, STEP)
+    with pytest.raises(effects.NotWritable):
+        effects.execute(plan, [library + "/a.jpg/x"])
+    results = effects.execute(plan, [out])
+    results.write.parquet(out + "/.results")
+    results = spark.read.parquet(out + "/.results")
+    got = {(r["image_id"], r["action"]): (r["target"], r["outcome"]) for r in results.collect()}
     assert got == {(1, "copy"): (out + "/Review/a.jpg", "created"), (1, "move"): (out + "/Cat/a.jpg", "done"), (2, "move"): (out + "/Cat/taken_2.jpg", "done"), (3, "copy"): (out + "/x.jpg", "skipped")}
     assert os.path.exists(out + "/Cat/a.jpg") and os.path.exists(out + "/Review/a.jpg") and not os.path.exists(library + "/a.jpg")
-    assert effects.remove_file(out + "/Review/a.jpg") and not effects.remove_file(out + "/Review/a.jpg") and effects.prune_empty_folders(out) == 1
+    assert os.path.getsize(out + "/Cat/taken.jpg") == 0
+    table = images(spark, {"path": library + "/a.jpg"}, {"path": library + "/b.JPG"}, {"path": library + "/none.jpg"})
+    after = {r["id"]: r for r in effects.settle(table, results, 9.0).collect()}
+    assert (after[1]["path"], after[1]["root"], after[1]["updated_at"]) == (out + "/Cat/a.jpg", out + "/Cat", 9.0) and after[2]["filename"] == "taken_2.jpg" and after[3]["path"].endswith("none.jpg")
+    assert sorted(tuple(r) for r in effects.log_entries(results).collect()) == [(1, "move", out + "/Cat/a.jpg"), (2, "move", out + "/Cat/taken_2.jpg")]
+    tally = {(r["outcome"], r["action"]): r["n"] for r in actions.apply_tally(results).collect()}
+    assert tally == {("created", "copy"): 1, ("done", "move"): 2, ("skipped", "copy"): 1}
+    assert effects.remove_file(out + "/Review/a.jpg") and not effects.remove_file(out + "/Review/a.jpg") and effects.drop_empty_folders(out) == 1
+    stale = spark.createDataFrame([(out + "/Cat/taken.jpg",), (out + "/gone",)], "link_path string")
+    assert {r["outcome"] for r in effects.remove_links(stale).collect()} == {"pruned"} and not os.path.exists(out + "/Cat/taken.jpg")
+    assert effects.empty_tree(out)[0] >= 2 and os.listdir(out) == []
+
+
+def test_an_action_only_does_what_it_says(spark, library):
+    """A registered action doesn't touch the original unless its own effect does, and one without effect is refused."""
+    plan = spark.createDataFrame([(1, 1, "frame", library + "/a.jpg", library + "/made/a.txt")], STEP)
+    actions.register_action(actions.Action("frame", lambda place, folder: folder))
+    try:
+        with pytest.raises(ValueError, match="frame"):
+            effects.execute(plan, [library])
+        effects.register_effect("frame", writing())
+        assert [tuple(r)[4:] for r in effects.execute(plan, [library]).collect()] == [(library + "/made/a.txt", "done")]
+        assert os.path.exists(library + "/a.jpg") and open(library + "/made/a.txt").read() == "1"
+    finally:
+        del actions.ACTIONS["frame"]
+        effects.EFFECTS.pop("frame", None)
+
+
+def writing():
+    def write(image_id, source, target):
+        import os
+
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        with open(target, "w") as file:
+            file.write(str(image_id))
+        return target
+
+    return write
+
+
+def test_moves_never_overwrite(tmp_path):
+    def made(name):
+        (tmp_path / name).write_text(name)
+        return str(tmp_path / name)
+
+    target = str(tmp_path / "t" / "x.jpg")
+    places = [effects.move_file(made(f"s{i}"), target, 7) for i in range(4)]
+    assert [os.path.basename(p) for p in places] == ["x.jpg", "x_7.jpg", "x_7_2.jpg", "x_7_3.jpg"]
+    assert [open(p).read() for p in places] == ["s0", "s1", "s2", "s3"]
+    source = made("again")
+    os.link(source, str(tmp_path / "t" / "y.jpg"))  # a task that was stopped between its two steps
+    assert effects.move_file(source, str(tmp_path / "t" / "y.jpg"), 1) == str(tmp_path / "t" / "y.jpg") and not os.path.exists(source)
+    other = made("other")
+    assert effects._claim_elsewhere(other, str(tmp_path / "z")) and not effects._claim_elsewhere(other, str(tmp_path / "z")) and open(tmp_path / "z").read() == "other"
+
+
+def test_discarding_what_is_marked(spark, library):
+    table = images(spark, {"path": library + "/a.jpg"}, {"path": library + "/sub/c.png"}, {"path": library + "/lost.jpg"})
+    marks = spark.createDataFrame([(1, "keep", 0.0), (2, "discard", 0.0), (3, "discard", 0.0)], "image_id long, mark string, created_at double")
+    plan = effects.discard(table, marks, library + "/_Duplicates", (library,))
+    effects.execute(plan, [library + "/_Duplicates"]).write.parquet(library + "/.r")
+    results = spark.read.parquet(library + "/.r")
+    after, left = effects.after_discard(table, marks, results, 5.0)
+    assert {r["id"]: r["deleted"] for r in after.collect()} == {1: 0, 2: 1, 3: 1} and [r["image_id"] for r in left.collect()] == [1]
+    assert os.path.exists(library + "/_Duplicates/sub/c.png") and os.path.exists(library + "/a.jpg")
+
+
+def jpeg(width, height, date=None):
+    parts = [b"\xff\xd8"]
+    if date:
+        entry = struct.pack("<HHII", 0x9003, 2, len(date) + 1, 44)
+        tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 1) + struct.pack("<HHII", 0x8769, 4, 1, 26) + struct.pack("<I", 0) + struct.pack("<H", 1) + entry + struct.pack("<I", 0)
+        body = b"Exif\0\0" + tiff + date.encode() + b"\0"
+        parts.append(b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body)
+    parts.append(b"\xff\xc0" + struct.pack(">HBHHB", 11, 8, height, width, 1) + b"\0\0\0\xff\xd9")
+    return b"".join(parts)
+
+
+def test_headers():
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 64, 48, 8, 2, 0, 0, 0) + b"\0\0\0\0" + struct.pack(">I4s", 0, b"IEND")
+    webp = b"RIFF\0\0\0\0WEBPVP8X" + struct.pack("<I", 10) + b"\0\0\0\0" + (63).to_bytes(3, "little") + (47).to_bytes(3, "little")
+    tiff = b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHIHH", 256, 3, 1, 64, 0) + struct.pack("<HHII", 257, 4, 1, 48) + b"\0\0\0\0"
+    cases = {
+        "PNG": png, "GIF": b"GIF89a" + struct.pack("<HH", 64, 48), "BMP": b"BM" + b"\0" * 16 + struct.pack("<ii", 64, -48), "WEBP": webp, "TIFF": tiff, "JPEG": jpeg(64, 48),
+    }
+    assert {k: headers.header(v) for k, v in cases.items()} == {k: (64, 48, k, None) for k in cases}
+    assert headers.header(jpeg(640, 480, "2020:01:02 03:04:05")) == (640, 480, "JPEG", "2020:01:02 03:04:05")
+    assert {headers.header(x) for x in (b"", b"text", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", jpeg(1, 1)[:9], b"II*\0\xff\xff\xff\xff")} == {headers.UNKNOWN}
+
+
+def test_rows_of_a_scan(spark, tmp_path):
+    (tmp_path / "a.jpg").write_bytes(jpeg(20, 10, "2020:01:02 03:04:05"))
+    (tmp_path / "b.png").write_bytes(b"no picture")
+    listed = files.list_files(spark, [str(tmp_path)])
+    rows = {r["filename"]: r for r in files.file_rows(listed, bright()).collect()}
+    a, b = rows["a.jpg"], rows["b.png"]
+    assert (a["width"], a["height"], a["format"], a["taken_at"], a["phash"], a["error"]) == (20, 10, "JPEG", "2020:01:02 03:04:05", "0" * 16, None)
+    assert a["hash"] == hashlib.sha256(jpeg(20, 10, "2020:01:02 03:04:05")).hexdigest()
+    assert (b["width"], b["format"], b["phash"], b["hash"]) == (None, None, None, hashlib.sha256(b"no picture").hexdigest())
+    os.remove(tmp_path / "b.png")
+    assert {r["filename"] for r in files.file_rows(listed).where("error is not null").collect()} in ({"b.png"}, set())
+
+
+def bright():
+    return lambda path: list(range(72)) if path.endswith(".jpg") else 1 / 0
+
+
+def test_listing_of_links_and_of_what_cannot_be_read(spark, tmp_path):
+    root, other = tmp_path / "lib", tmp_path / "other"
+    (root / "deep" / "er").mkdir(parents=True)
+    other.mkdir()
+    (root / "deep" / "er" / "a.jpg").write_text("a")
+    (other / "b.jpg").write_text("b")
+    os.symlink(other, root / "link")
+    os.symlink(other, root / "folder.jpg")
+    os.symlink(other / "b.jpg", root / "l.jpg")
+    os.symlink(root, root / "deep" / "loop")
+    os.symlink(tmp_path / "nowhere", root / "dead.jpg")
+    names = lambda df: sorted(os.path.relpath(r["path"], root) for r in df.collect())
+    assert names(files.list_files(spark, [str(root)])) == ["deep/er/a.jpg"]
+    followed = names(files.list_files(spark, [str(root)], follow_links=True))
+    assert "deep/er/a.jpg" in followed and "l.jpg" in followed and sum(f.endswith("b.jpg") for f in followed) == 1 and len(followed) == 3
+    errors = files.list_files(spark, [str(root / "none")], with_errors=True).collect()
+    assert len(errors) == 1 and errors[0]["error"]
+
+
+def test_weights_classes_and_overlay(tmp_path):
+    (tmp_path / "m.pt").write_text("")
+    assert settings.find_weights("x/m.pt", [str(tmp_path)]) == str(tmp_path / "m.pt") and settings.find_weights("no.pt", []) == "no.pt"
+    assert settings.class_ids({0: "Cat", 1: "dog", 2: "bus"}, ["CAT", "bus"]) == [0, 2]
+    for wanted in ([], ["cow"]):
+        with pytest.raises(ValueError):
+            settings.class_ids({0: "cat"}, wanted)
+    path = str(tmp_path / "o.json")
+    assert settings.save_overlay(path, {"A": "1", "B": "2"}) == {"A": "1", "B": "2"} and settings.save_overlay(path, {"A": None, "C": "3"}) == {"B": "2", "C": "3"}
