@@ -2,33 +2,30 @@
 
 ``connected`` is hash-to-min: every vertex keeps a cluster, at first itself and its neighbours; in each round it sends
 the whole cluster to the cluster's smallest member and that smallest member to all others, until nothing changes.
-A cluster is rows (vertex, member), never an array, and only sorted and combined by shuffles, so no task ever holds a
-group as a whole. The state of each round is a table in the shared folder; a lost executor costs one round at most.
+A cluster is rows (vertex, member), never an array, and only sorted and combined by shuffles. The clusters of vertices that
+hold very many members are not brought together even for their join: their smallest members are sent to where the rows
+are. The state of each round is a table in the shared folder; a lost executor costs one round at most.
 
-``near_bits`` finds all pairs of 64-bit hashes that differ in at most d bits: the bits are cut in blocks, and a pair
-agrees in all but d blocks at least, so it meets under the key of some choice of blocks. Keys that too many hashes share
-are refined by a second choice among the bits they leave open, which keeps the search exact.
-
-Copies are no problem of the pair search: equal hashes are one vertex, and whether two vertices are linked in spite of
-pairs that are excepted is counted, not enumerated (``vertices``).
+The pairs come from ``operators.near``. Copies are no problem of the pair search: equal hashes are one vertex, and whether
+two vertices are linked in spite of pairs that are excepted is counted, not enumerated (``vertices``).
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions.hashes import hamming, perceptual_bits
+from tarnwell.operators.near import near_bits
 from tarnwell.session import drop_table, materialize
 from tarnwell.tables import current_rows, is_live, read_table
 
-#: A key shared by more hashes than this is refined.
-CROWDED = 400
+#: A vertex with more members than this is heavy. There can't be more heavy ones than rows divided by this, so what is
+#: broadcast of them (two numbers each) is 16 MB for 10^12 rows.
+HEAVY = 1_000_000
 
 
-def connected(links: DataFrame, a: str, b: str) -> DataFrame:
+def connected(links: DataFrame, a: str, b: str, heavy: int = HEAVY) -> DataFrame:
     """``(vertex, component)`` for every vertex of ``links``; the component is its smallest vertex.
 
     Null ends and loops link nothing; repeated links and either direction are the same. No links give no rows.
@@ -39,10 +36,20 @@ def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     )
     state = materialize(pairs.select(both.alias("x")).select("x.*").distinct().withColumn("new", F.lit(True)).withColumn("old", F.lit(False)), "clusters")
     changed = not state.isEmpty()
+    scratch: list[DataFrame] = []
     while changed:
         clusters = state.select("vertex", "member")
-        least = clusters.groupBy("vertex").agg(F.min("member").alias("least"))
-        sent = clusters.join(least, "vertex").select(
+        sizes = clusters.groupBy("vertex").agg(F.min("member").alias("least"), F.count(F.lit(1)).alias("members"))
+        least = sizes.select("vertex", "least")
+        if state.count() <= heavy:  # then no vertex can be
+            known = clusters.join(least, "vertex")
+        else:
+            sizes = materialize(sizes, "sizes")
+            scratch.append(sizes)
+            large = F.broadcast(sizes.where(F.col("members") > heavy).select("vertex", "least"))
+            light = clusters.join(large, "vertex", "left_anti").join(sizes.where(F.col("members") <= heavy).select("vertex", "least"), "vertex")
+            known = clusters.join(large, "vertex").unionByName(light)
+        sent = known.select(
             F.explode(
                 F.array(
                     F.struct(F.col("least").alias("vertex"), F.col("member")),
@@ -55,72 +62,14 @@ def connected(links: DataFrame, a: str, b: str) -> DataFrame:
         )
         merged = materialize(flagged.groupBy("vertex", "member").agg(F.max("new").alias("new"), F.max("old").alias("old")), "clusters")
         changed = not merged.where("new <> old").isEmpty()
-        drop_table(state)
+        for old in (state, *scratch):
+            drop_table(old)
+        scratch = []
         state = merged.where("new")
         state._tarnwell_path = merged._tarnwell_path
     return state.groupBy("vertex").agg(F.min("member").alias("component"))
 
 
-def _blocks(bits: list[int], count: int) -> list[list[int]]:
-    """``bits`` cut into ``count`` runs of nearly equal length."""
-    ends = [round(len(bits) * i / count) for i in range(count + 1)]
-    return [bits[x:y] for x, y in zip(ends, ends[1:])]
-
-
-def _mask(blocks: list[list[int]]) -> int:
-    mask = sum(1 << bit for block in blocks for bit in block)
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
-def _choices(bits: list[int], count: int, distance: int) -> list[tuple[int, list[int]]]:
-    """Masks of every choice of blocks that ``distance`` differing bits leave equal, each with the bits left open."""
-    blocks = _blocks(bits, count)
-    return [(_mask(list(kept)), sorted({b for x in blocks for b in x} - {b for x in kept for b in x})) for kept in combinations(blocks, count - distance)]
-
-
-def _first_equal(x: Column, masks: list[int]) -> Column:
-    """The number of the first mask under which ``x`` is zero: two hashes are compared only under that key."""
-    return F.coalesce(*[F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])
-
-
-def near_bits(hashes: DataFrame, column: str, distance: int = 3, blocks: int = 5, crowded: int = CROWDED) -> DataFrame:
-    """``(hash_a, hash_b)``, a < b: all pairs of distinct values of ``column`` that differ in 1 to ``distance`` bits.
-
-    ``blocks`` must exceed ``distance``; more blocks mean longer keys and more of them. Nulls match nothing.
-    """
-    outer = _choices(list(range(64)), blocks, distance)
-    masks = [m for m, _ in outer]
-    values = hashes.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("h")).distinct()
-    keyed = materialize(
-        values.select("h", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "key")), "keys"
-    )
-    full = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") > crowded))
-    crowds = materialize(full.select("choice", "key"), "crowds")
-    usual, hot = keyed, None
-    if not crowds.isEmpty():
-        usual, hot = keyed.join(crowds, ["choice", "key"], "left_anti"), keyed.join(crowds, ["choice", "key"], "left_semi")
-    found = _meet(usual, ["choice", "key"]).where(_first_equal(F.col("x"), masks) == F.col("choice"))
-    pairs = found.where(F.bit_count("x") <= distance).select("hash_a", "hash_b")
-    if hot is not None:
-        finer = {i: [m for m, _ in _choices(rest, 2 * distance, distance)] for i, (_, rest) in enumerate(outer)}
-        keys = F.lit(None).cast("array<bigint>")
-        for i, inner in finer.items():
-            keys = F.when(F.col("choice") == i, F.array(*[F.col("h").bitwiseAND(F.lit(m)) for m in inner])).otherwise(keys)
-        refined = hot.select("h", "choice", "key", F.posexplode(keys).alias("finer", "finer_key"))
-        first = F.lit(None).cast("int")
-        for i, inner in finer.items():
-            first = F.when(F.col("choice") == i, _first_equal(F.col("x"), inner)).otherwise(first)
-        met = _meet(refined, ["choice", "key", "finer", "finer_key"])
-        met = met.where((_first_equal(F.col("x"), masks) == F.col("choice")) & (first == F.col("finer")))
-        pairs = pairs.unionByName(met.where(F.bit_count("x") <= distance).select("hash_a", "hash_b"))
-    return pairs
-
-
-def _meet(keyed: DataFrame, keys: list[str]) -> DataFrame:
-    a, b = keyed.withColumnRenamed("h", "hash_a"), keyed.withColumnRenamed("h", "hash_b")
-    return a.join(b, keys).where("hash_a < hash_b").withColumn("x", F.col("hash_a").bitwiseXOR(F.col("hash_b")))
-
-
 def excepted_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct unordered pairs of different ids, as ``id_a < id_b``."""
     known = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))

@@ -99,3 +99,37 @@ def p8_containers(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS
     documents = read_table(spark, folder, "documents")
     sized = documents.select("doc_id", token_count(spark, F.col("text"), tokenizers).alias("n_tokens"))
     return containers(sized, "doc_id", "n_tokens").withColumnsRenamed({"first": "first_token", "length": "n_tokens"})
+
+
+def violations(placed: DataFrame, sized: DataFrame, key: str, length: str, capacity: int = CAPACITY) -> DataFrame:
+    """One row on ``placed`` (container_id, slot, key, part_no, first, length) of the items in ``sized`` (unique key, length).
+
+    ``items`` and ``parts`` are how many have a place; what must be 0 are ``lost`` (items of which not every token has
+    exactly one place), ``divided`` (items cut though they fit, or not into full containers and a rest), ``overfull``
+    containers and ``overlapping`` parts (which don't begin where the one before them in their container ends).
+    """
+    own = placed.groupBy(key).agg(
+        F.sum("length").alias("held"), F.count(F.lit(1)).alias("parts"), F.countDistinct("part_no").alias("numbers"), F.max("part_no").alias("last"), F.count_if(F.col("first") != F.col("part_no") * capacity).alias("shifted")
+    )
+    both = sized.select(key, F.coalesce(F.col(length), F.lit(0)).alias("size")).join(own, key, "full_outer")
+    needed = F.ceil(F.col("size") / capacity)
+    right = (F.col("held") == F.col("size")) & (F.col("numbers") == F.col("parts")) & (F.col("shifted") == 0)
+    per_item = both.agg(
+        F.count("held").alias("items"),
+        F.coalesce(F.sum("parts"), F.lit(0)).alias("parts"),
+        F.count_if((F.coalesce("size", F.lit(0)) > 0) & ~F.coalesce(right, F.lit(False)) | F.col("held").isNotNull() & (F.coalesce("size", F.lit(0)) <= 0)).alias("lost"),
+        F.count_if((F.col("parts") != needed) | (F.col("last") != needed - 1)).alias("divided"),
+    )
+    before = W.partitionBy("container_id").orderBy("slot")
+    chained = placed.withColumn("end", F.coalesce(F.lag(F.col("slot") + F.col("length")).over(before), F.lit(0)))
+    per_container = chained.groupBy("container_id").agg(F.sum("length").alias("full"), F.count_if(F.col("slot") != F.col("end")).alias("apart"))
+    room = per_container.agg(F.count_if(F.col("full") > capacity).alias("overfull"), F.coalesce(F.sum("apart"), F.lit(0)).alias("overlapping"))
+    return per_item.withColumn("one", F.lit(1)).join(room.withColumn("one", F.lit(1)), "one").drop("one")  # one row each
+
+
+def p8_violations(spark: SparkSession, folder: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """Query p8_violations: that every token of every document has one place in a container that holds it."""
+    documents = read_table(spark, folder, "documents")
+    sized = materialize(documents.select("doc_id", token_count(spark, F.col("text"), tokenizers).alias("n_tokens")), "sizes")
+    placed = materialize(containers(sized, "doc_id", "n_tokens"), "places")
+    return violations(placed, sized, "doc_id", "n_tokens").drop("parts")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from tarnwell.llm.components import p4_found, p4_links
 from tarnwell.llm.cooccurrence import p3_found
-from tarnwell.llm.packing import p8_containers
+from tarnwell.llm.packing import p8_containers, p8_violations
 from tarnwell.llm.reading import p9_found, p9_levels
 from tarnwell.llm.survivors import p6_found
 from tarnwell.llm.term_counts import p1_counts, p1_found, p1_live
-from tarnwell.llm.tokenize import p7_ids
+from tarnwell.llm.tokenize import p7_ids, p7_texts
 
 QUERIES = {
     "p1_found": p1_found,
@@ -19,7 +19,9 @@ QUERIES = {
     "p4_links": p4_links,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
+    "p7_texts": p7_texts,
     "p8_containers": p8_containers,
+    "p8_violations": p8_violations,
     "p9_found": p9_found,
     "p9_levels": p9_levels,
 }
@@ -56,6 +58,8 @@ digits AS (
 h AS (SELECT id, CAST('0x' || d AS UBIGINT) AS bits FROM digits WHERE regexp_matches(d, '^[0-9a-f]{{1,16}}$'))"""
 
 ORACLES = {
+    "p7_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p8_violations": "SELECT count(*) FILTER (text <> '') AS items, 0::BIGINT AS lost, 0::BIGINT AS divided, 0::BIGINT AS overfull, 0::BIGINT AS overlapping FROM documents",
     "p1_counts": f"WITH {_COUNTS} SELECT * FROM c",
     "p1_live": f"""WITH gone AS (SELECT id FROM {_CURRENT} WHERE missing = 1 OR deleted = 1),
 r AS (SELECT * FROM ({_RECORDS}) WHERE term IS NOT NULL AND (image_id IS NULL OR image_id NOT IN (FROM gone)))

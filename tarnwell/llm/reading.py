@@ -1,7 +1,7 @@
 """Reading level of each document, by smoothed unigram language models per grade.
 
-The prose of a text is what is left without markup and without lines that hold hardly any function words (header dumps,
-logs, settings, code and listings have none). Its units are its words, rare ones replaced by their length class, and for
+The prose of a text is what is left without markup and without lines that are no sentences: those made of letters only in
+part (listings, logs, code, settings, noise) and those that hold hardly any function words (header dumps). Its units are its words, rare ones replaced by their length class, and for
 every sentence its class: how long it is and what share of its words is long. For each language and grade a unigram model with additive smoothing is trained on
 labelled documents; a document gets the grade under whose model and prior its units are most likely. A language without
 labels is graded by the readability formula LIX instead.
@@ -31,7 +31,9 @@ GRADES = (1, 2, 3, 4, 5)
 #: Prose has at least so many words.
 LEAST_WORDS = 30
 #: Least share of function words in a line of prose and in a document of a language.
-FUNCTION_SHARE = 0.08
+FUNCTION_SHARE = 0.12
+#: Least share of letters in words among what a line of prose shows.
+LETTER_SHARE = 0.8
 #: A word is a unit of its own if so many labelled documents have it.
 LEAST_DOCUMENTS = 5
 SMOOTHING = 0.1
@@ -40,18 +42,24 @@ SENTENCE_WEIGHT = 10
 #: A word of so many letters is long.
 LONG_WORD = 9
 
-# Frequent function words of the languages that count.
+# Function words of the languages that count, the closed classes of their grammars: articles, pronouns,
+# prepositions, conjunctions, auxiliaries.
 FUNCTION_WORDS = {
-    "en": "the a an and of to in my i he she they we it is was but while because so that with for on at by as then this",
-    "de": "der die das ein eine einer einem einen und er sie ich mein im am den dem des zu auf aber nicht mit von hinsichtlich",
-    "fr": "le la les l un une des et il elle mon ma dans du de d que à au aux mais sur ce qui ne pas pour est",
-    "es": "el la los las un una y él ella mi en de del que por con pero lo al se su no es para",
+    "en": "the a an and or but if of in on at to from by with for about into i you he she it we they me him her us them my your his its our their this that these those "
+    "is are was were be been have has had do does did will would can could not as than then so because while when who which what there",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber wenn weil dass ich du er sie es wir ihr mich mir ihm ihn uns mein meine sein seine unser in im an am auf "
+    "aus bei beim mit nach von vom zu zum zur für über um durch ist sind war waren hat haben hatte wird wurde nicht auch noch nur als wie so dann",
+    "fr": "le la les l un une des de du d et ou mais si que qu qui je j tu il elle nous vous ils elles me m te se s lui leur mon ma mes son sa ses notre ce cet cette ces "
+    "à au aux en dans sur sous avec pour par sans chez est sont était étaient a ont avait être été ne n pas plus comme quand très",
+    "es": "el la los las un una unos unas y e o pero si que de del en a al con por para sin sobre entre hasta desde yo tú él ella nosotros ellos ellas me te se nos le les lo mi mis su sus "
+    "este esta estos ese esa es son era eran ha han había ser fue fueron está no ni más muy como cuando porque",
 }
 # Upper bounds of LIX for the grades but the last, after its usual scale.
 LIX_BOUNDS = (25, 35, 45, 55)
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_MARKUP = re.compile(r"<[^<>]{1,200}>|&[a-z]{2,8};|&#\d{1,6};")
+_MARKUP = re.compile(r"<[^<>]+>|&[a-z][a-z0-9]{1,31};|&#x?[0-9a-f]{1,8};")
+_RUN = re.compile(r"([^\w\s])\1{3,}")
 _LINE_END = re.compile(r"[\r\n\v\f\x85  ]+")
 _SENTENCE_END = re.compile(r"[.!?…]+[\"'»”)\]]*(?=\s|$)")
 _FUNCTION = {w: frozenset(words.split()) for w, words in FUNCTION_WORDS.items()}
@@ -78,10 +86,12 @@ def prose(text: str) -> tuple[list[str], list[int]]:
     text = text.lower()
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
-    for line in _LINE_END.split(text):
+    for line in _LINE_END.split(_RUN.sub(" ", text)):
         sentences = [x for s in split(line) if (x := find(s))]
         words = sentences[0] if len(sentences) == 1 else list(chain.from_iterable(sentences))
-        if len(words) > 1 and sum(map(known, words)) >= FUNCTION_SHARE * len(words):
+        if len(words) < 2 or sum(map(len, words)) < LETTER_SHARE * sum(map(len, line.split())):
+            continue
+        if sum(map(known, words)) >= FUNCTION_SHARE * len(words):
             kept += words
             classes += map(sentence_class, sentences)
     return kept, classes

@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -371,18 +372,71 @@ def token_count(spark: SparkSession, text: Column, folder: str = TOKENIZERS, voc
     return count(text)
 
 
-def decode(ids: list[int], vocabulary: dict) -> str:
-    """The text of ids: each id is split back into the pair it was merged from, down to bytes."""
-    split = {int(c): (int(a), int(b)) for a, b, c in vocabulary["merges"]}
-    letters = {int(i): byte for byte, i in enumerate(vocabulary["base"])}
-    out, todo = bytearray(), list(reversed(ids))
-    while todo:
-        token = todo.pop()
-        if token in letters:
-            out.append(letters[token])
-        else:
-            todo += reversed(split[token])
-    return out.decode("utf-8", "replace")
+def token_bytes(vocabulary: dict) -> dict[int, bytes]:
+    """The bytes of every token: those of the pair that it was merged from, down to single bytes."""
+    out = {int(i): bytes([b]) for b, i in enumerate(vocabulary["base"])}
+    for a, b, c in vocabulary["merges"].tolist():  # by rank, so both halves are known
+        out[c] = out[a] + out[b]
+    return out
+
+
+#: Tokens that one query decodes.
+DECODED_TOKENS = 500_000
+
+
+class Decoder:
+    """Decodes batches of ids: token-position rows join the table of tokens, an ordered aggregation gives the text."""
+
+    _QUERY = """SELECT list, CASE WHEN count(*) = count(written) THEN unhex(string_agg(written, '' ORDER BY pos)) END AS raw
+        FROM given LEFT JOIN tokens USING (id) GROUP BY list ORDER BY list"""
+
+    def __init__(self, vocabulary: dict) -> None:
+        import duckdb
+
+        self._db = duckdb.connect(":memory:")
+        self._db.execute(_SETTINGS)
+        tokens = token_bytes(vocabulary)
+        self._db.register("given", pa.table({"id": pa.array(tokens, pa.int32()), "written": [b.hex() for b in tokens.values()]}))
+        self._db.execute("CREATE TABLE tokens AS SELECT * FROM given")
+        self._db.unregister("given")
+
+    def decode(self, lists: pa.ListArray) -> list[str | None]:
+        """The text of each list of ids; null for null and for ids that no token has, an empty text for an empty list."""
+        out: list[str | None] = ["" if v else None for v in lists.is_valid().to_pylist()]
+        sizes = np.array(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+        at = 0
+        while at < len(out):
+            end, total = at, 0
+            while end < len(out) and (end == at or total + sizes[end] <= DECODED_TOKENS):
+                total += sizes[end]
+                end += 1
+            part = lists.slice(at, end - at)
+            ids, counts = part.flatten(), sizes[at:end]
+            number = np.repeat(np.arange(end - at), counts)
+            pos = np.arange(len(number)) - np.repeat(np.cumsum(counts) - counts, counts)
+            self._db.register("given", pa.table({"list": pa.array(number, pa.int32()), "pos": pa.array(pos, pa.int32()), "id": ids.cast(pa.int32())}))
+            for n, raw in self._db.sql(self._QUERY).fetchall():
+                out[at + n] = None if raw is None else raw.decode("utf-8", "replace")
+            self._db.unregister("given")
+            at = end
+        return out
+
+
+_decoders: dict[str, Decoder] = {}
+
+
+def token_text(spark: SparkSession, ids: Column, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Column:
+    """The text that a list of ids stands for; null lists and ids that no token has give null."""
+    key, shared = _shared(spark, folder, vocabulary)
+
+    @F.arrow_udf("string")
+    def decode(lists: pa.Array) -> pa.Array:
+        if key not in _decoders:
+            _decoders.clear()
+            _decoders[key] = Decoder(shared.value)
+        return pa.array(_decoders[key].decode(lists), pa.string())
+
+    return decode(ids)
 
 
 def encoded(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS) -> DataFrame:
@@ -393,3 +447,9 @@ def encoded(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS) -> Dat
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Query p7_ids."""
     return encoded(read_table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p7_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Query p7_texts: every document's text, encoded and decoded again; null texts come back empty."""
+    ids = p7_ids(spark, folder)
+    return ids.select("doc_id", token_text(spark, F.col("ids")).alias("text"))

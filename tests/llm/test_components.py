@@ -53,7 +53,7 @@ def test_copies_are_one_group_and_dismissals_count(spark):
     assert C.groups(items.where("false"), none).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [2, 10_000])
+@pytest.mark.parametrize("crowded", [20, 10_000])
 def test_near_bits(spark, crowded):
     rng = random.Random(7)
     values = {rng.getrandbits(12) << 3 for _ in range(150)} | {rng.getrandbits(63) for _ in range(50)}
@@ -81,3 +81,10 @@ def test_connected(spark):
             parent[max(p, q)] = min(p, q)
     assert {r["vertex"]: r["component"] for r in C.connected(df, "a", "b").collect()} == {x: find(x) for x in parent}
     assert C.connected(df.where("false"), "a", "b").count() == 0
+
+
+def test_heavy_clusters_are_joined_where_they_are(spark):
+    links = [(0, i) for i in range(1, 60)] + [(100, 101), (101, 102)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r["vertex"]: r["component"] for r in C.connected(df, "a", "b", heavy=10).collect()}
+    assert got == {i: 0 for i in range(60)} | {100: 100, 101: 100, 102: 100}

@@ -20,6 +20,19 @@ def test_units():
     assert reading.units('{"name": "urn", "when": {"class": "cow"}}\n' * 30)[0] is None
 
 
+@pytest.mark.parametrize("text", [
+    '{\n    "name": "as",\n    "when": {\n        "class": "the",\n        "min_count": 3\n    }\n}\n', "857d57bf2fca7e76  the/and/of-100.HEIC\t1,997,640\n", "I.0;n1r.' |1.~l:b ;b' m O .Ir~~0I~~l:: nO |vb\n",
+    "2020-01-02 03:04:05,678 WARN [io-3] scan.c:31 to=/a/b is=1\n", "for (i = 0; i < n; i++) { do(a[i], &b); } // as is\n", "Camera Model Name : Canon EOS\nExposure Program : Manual\n", "the_path = /to/the/photos # or not\n",
+])
+def test_what_is_no_prose(text):
+    assert reading.units(text * 40)[1].total() < reading.LEAST_WORDS
+
+
+def test_runs_and_tags_of_any_length_are_no_part_of_prose():
+    text = "The cat " + "=" * 900 + " saw the dog <img src='" + "a" * 5000 + "'> and it &CounterClockwiseContourIntegral; hid."
+    assert dict(reading.units(text)[1]) == {"the": 2, "cat": 1, "saw": 1, "dog": 1, "and": 1, "it": 1, "hid": 1}
+
+
 def test_formula_without_labels(spark):
     rows = [(1, EASY), (2, HARD), (3, None), (4, ""), (5, "Too short."), (6, "x = urn(3) # lid\n" * 40), (7, EASY * 300), (1, EASY)]
     df = spark.createDataFrame(rows, "words long, text string")

@@ -5,12 +5,13 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tarnwell.llm import packing
-from tarnwell.llm.tokenize import LONG_BYTES, TOKENIZERS, VOCABULARY, Encoder, decode, encoded, load_vocabulary, token_count
+from tarnwell.llm.tokenize import LONG_BYTES, TOKENIZERS, VOCABULARY, Decoder, Encoder, encoded, load_vocabulary, token_count
 
 PATH = os.path.join(TOKENIZERS, VOCABULARY)
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files")
@@ -44,7 +45,7 @@ def test_equals_library(encoder, library, vocabulary):
     got = encoder.encode(TEXTS).to_pylist()
     assert got == library(TEXTS)
     assert encoder.sizes(TEXTS).tolist() == list(map(len, got))
-    assert [decode(ids, vocabulary) for ids in got] == TEXTS
+    assert Decoder(vocabulary).decode(pa.array(got, pa.list_(pa.int32()))) == TEXTS
     assert encoder.encode([None, "", "x"]).to_pylist()[:2] == [[], []]
     assert encoder.encode([]).to_pylist() == []
 
@@ -110,3 +111,27 @@ def test_containers(spark):
     total = sum(want.values())
     assert len(by) <= 1.05 * total / 64 + 1
     assert packing.containers(df.where("false"), "slot", "n", 64).count() == 0
+
+
+def test_decoding(vocabulary, library, monkeypatch):
+    decoder = Decoder(vocabulary)
+    one = lambda text: library([text])[0]
+    lists = [None, [], one("a b"), [10**6], one("é" * 50), None, one("x" * 999)]
+    want = [None, "", "a b", None, "é" * 50, None, "x" * 999]
+    for most in (500_000, 10):
+        monkeypatch.setattr("tarnwell.llm.tokenize.DECODED_TOKENS", most)
+        assert decoder.decode(pa.array(lists, pa.list_(pa.int32()))) == want
+        assert decoder.decode(pa.array(lists, pa.list_(pa.int32())).slice(2, 3)) == want[2:5]
+
+
+def test_violations_are_found(spark):
+    schema = "container_id long, slot long, k long, part_no long, first long, length long"
+    sizes = spark.createDataFrame([(1, 5), (2, 12), (3, 0), (4, None), (5, 3)], "k long, n long")
+    good = [(0, 0, 2, 0, 0, 10), (1, 0, 1, 0, 0, 5), (1, 5, 2, 1, 10, 2), (1, 7, 5, 0, 0, 3)]
+    count = lambda rows: packing.violations(spark.createDataFrame(rows, schema), sizes, "k", "n", 10).head().asDict()
+    assert count(good) == {"items": 3, "parts": 4, "lost": 0, "divided": 0, "overfull": 0, "overlapping": 0}
+    assert count(good[:3])["lost"] == 1
+    assert count([*good, good[-1]])["lost"] == 1 and count([*good, (2, 0, 3, 0, 0, 1)])["lost"] == 1
+    assert count([*good[:3], (0, 10, 5, 0, 0, 3)])["overfull"] == 1
+    assert count([*good[:3], (1, 6, 5, 0, 0, 3)])["overlapping"] == 1
+    assert count([good[0], (1, 0, 1, 0, 0, 3), (3, 0, 1, 1, 10, 2), *good[2:]])["divided"] == 1
