@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.operators.scan import numbered
+from tarnwell.session import materialize
+
 CSV_COLUMNS = ["id", "path", "category", "needs_review", "width", "height", "taken_at", "detections", "metadata"]
 
 
+def ranked_boxes(boxes: DataFrame) -> DataFrame:
+    """``boxes`` (id, image_id, confidence and more) with ``rank``: their place in their image, most confident first, from 0.
+
+    The long form of an image's boxes. All boxes are sorted together, so an image that has a tenth of them is spread over
+    as many tasks as its rows need; a box's rank is its place in this order less that of its image's first one.
+    """
+    rows = materialize(numbered(boxes, ["image_id", F.desc("confidence"), "id"], 0, "__place"), "ranked")
+    first = rows.groupBy("image_id").agg(F.min("__place").alias("__first"))
+    return rows.join(first, "image_id").select(*boxes.columns, (F.col("__place") - F.col("__first")).alias("rank"))
+
+
 def boxes_by_image(boxes: DataFrame) -> DataFrame:
     """``image_id, detections``: the boxes of each image, most confident first (equal ones by id).
 
-    The one row per image is what is asked for; an image's boxes are held together only here, at the export.
+    One row per image is what the nested formats ask for, so the largest image has to fit into a row; ``ranked_boxes`` is
+    the form without that bound.
     """
     columns = [c for c in boxes.columns if c not in ("id", "image_id", "confidence")]
     box = F.struct((-F.col("confidence")).alias("order"), "id", *columns, "confidence")
@@ -39,6 +56,25 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.withColumn("metadata", nested).write.mode("overwrite").json(path)
 
 
+def write_json_array(rows: DataFrame, path: str) -> int:
+    """Records in order of id as one pretty JSON array in a file of the driver; returns how many.
+
+    They come to the driver a partition at a time, so the file may be larger than its memory.
+    """
+    nested = F.when(F.try_parse_json("metadata").isNotNull(), F.to_json(F.try_parse_json("metadata")))
+    texts = rows.withColumn("__meta", nested).orderBy("id")
+    text = texts.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("row"), "__meta")
+    count = 0
+    with open(path, "w", encoding="utf-8") as file:
+        file.write("[")
+        for row in text.toLocalIterator():
+            record = json.loads(row["row"]) | {"metadata": None if row["__meta"] is None else json.loads(row["__meta"])}
+            file.write((",\n" if count else "\n") + json.dumps(record, indent=2, ensure_ascii=False))
+            count += 1
+        file.write("\n]\n")
+    return count
+
+
 def csv_rows(rows: DataFrame) -> DataFrame:
     """Records as the nine columns of the CSV export; boxes as ``class:0.00`` joined by ``;``.
 

@@ -85,13 +85,27 @@ def exact_duplicates(images: DataFrame, hash_column: str = "hash") -> DataFrame:
 
 
 def largest_duplicate_groups(images: DataFrame, limit: int, hash_column: str = "hash") -> DataFrame:
-    """``hash, n, paths`` of the ``limit`` largest groups, their paths sorted and joined by line ends (a report)."""
+    """``hash, n, paths`` of the ``limit`` largest groups, their paths sorted and joined by line ends (a report).
+
+    A group's paths are one text, as the report has it; ``exact_duplicates`` is the form for groups of any size.
+    """
     rows = exact_duplicates(images, hash_column)
     top = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "hash").limit(limit)
     listed = rows.join(top.select("hash"), "hash", "left_semi").groupBy("hash", "n")
     return listed.agg(F.array_join(F.sort_array(F.collect_list("path")), "\n").alias("paths"))
 
 
+def verdicts_of(verdicts: DataFrame, images: DataFrame) -> DataFrame:
+    """The verdicts on some images (image_id), by image and class."""
+    return verdicts.join(images.select("image_id").distinct(), "image_id", "left_semi").orderBy("image_id", "class")
+
+
+def preview(plan: DataFrame, limit: int = 200) -> tuple[DataFrame, DataFrame]:
+    """What a plan would do: ``action, n``, and its first ``limit`` steps by image and place."""
+    counts = plan.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    return counts, plan.orderBy("image_id", "seq").limit(limit).select("action", "source", "target")
+
+
 def history(log: DataFrame, images: DataFrame, limit: int) -> DataFrame:
     """The newest ``limit`` entries of the action log with their images' paths."""
     rows = log.join(images.select(F.col("id").alias("image_id"), "path"), "image_id")

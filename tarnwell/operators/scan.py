@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.schema import CHILDREN, PENDING
+from tarnwell.session import materialize
 
 #: Times that differ by less are the same.
 TOLERANCE = 1e-6
@@ -55,14 +56,12 @@ def upsert(index: DataFrame, rows: DataFrame, now: float, next_id: int | None =
     return known.unionByName(numbered(added.drop("id"), "path", start).select(*index.columns))
 
 
-def numbered(df: DataFrame, order: str, start: int) -> DataFrame:
-    """``df`` with ``id``: consecutive from ``start`` in the order of a column, without ordering all rows in one task.
+def numbered(df: DataFrame, order: str | list, start: int, name: str = "id") -> DataFrame:
+    """``df`` with ``id``: consecutive from ``start`` in the order of some columns, without ordering all rows in one task.
 
     Rows are sorted into ranges; each range is numbered by itself and shifted by the sizes of those before it.
     """
-    from tarnwell.session import materialize
-
-    sorted_rows = df.sort(order).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
+    sorted_rows = df.sort(*([order] if isinstance(order, str) else order)).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
     rows = materialize(sorted_rows, "numbered")
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__row").alias("first")).orderBy("__part").collect()  # one row a partition
     shifts, total = [], start
@@ -70,9 +69,9 @@ def numbered(df: DataFrame, order: str, start: int) -> DataFrame:
         shifts.append((r["__part"], total - r["first"]))
         total += r["n"]
     if not shifts:
-        return rows.withColumn("id", F.lit(None).cast("bigint")).drop("__part", "__row")
+        return rows.withColumn(name, F.lit(None).cast("bigint")).drop("__part", "__row")
     moved = df.sparkSession.createDataFrame(shifts, "__part int, __shift bigint")
-    return rows.join(F.broadcast(moved), "__part").withColumn("id", F.col("__row") + F.col("__shift")).drop("__part", "__row", "__shift")
+    return rows.join(F.broadcast(moved), "__part").withColumn(name, F.col("__row") + F.col("__shift")).drop("__part", "__row", "__shift")
 
 
 def flag_missing(images: DataFrame, root: str | None = None) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from tarnwell.index import bare
+from tarnwell.index import VERDICTS, bare
 from tarnwell.index import verdict as read_verdict
 
-#: Fields that every reply has, whatever classes it was asked about, with their types.
+# The fields that every reply has, whatever classes it was asked about, with their types.
 SHARED = {
     "activities": ArrayType(StringType()),
     "environment": StringType(),
@@ -45,6 +45,34 @@ def verdict_schema(classes: Sequence[str]) -> dict:
     return {"type": "object", "properties": fields, "required": list(fields)}
 
 
+def _one_of(names: Sequence[str], word: str) -> str:
+    return names[0] if len(names) == 1 else f"{', '.join(names[:-1])} {word} {names[-1]}"
+
+
+def description_prompt(classes: Sequence[str], hint: str | None = None) -> str:
+    """What a model is asked that describes a picture; the hint is what a detector found in it, as ``hints`` writes it."""
+    shown = f" It may show {_one_of(list(classes), 'or')}." if classes else ""
+    fields = ", ".join(reply_schema(classes)["properties"])
+    found = f" A detector has found: {hint}. Take this as likely." if hint else ""
+    return f"Describe this picture.{shown}{found} Answer with one JSON object and nothing else; its fields are {fields}."
+
+
+def verdict_prompt(classes: Sequence[str]) -> str:
+    """What a model is asked that gives a second opinion on whether a picture shows some classes."""
+    asked = _one_of(list(classes), "and")
+    words = _one_of(list(VERDICTS), "or")
+    return f"Look for {asked} in this picture. Say of each whether it is {words}, and how sure you are from 0 to 1. Answer with one JSON object and nothing else."
+
+
+def request(model: str, prompt: str, schema: dict, picture: str, context: int = 4096, keep_alive: str = "5m") -> dict:
+    """A chat request with one picture (in base64) that asks for a reply of a schema, as repeatable as the model can be."""
+    # The fields of the chat protocol.
+    return {
+        "model": model, "messages": [{"role": "user", "content": prompt, "images": [picture]}], "format": schema,
+        "stream": False, "keep_alive": keep_alive, "options": {"temperature": 0, "num_ctx": context},
+    }
+
+
 def salvage(text: Column) -> Column:
     """The JSON object in a reply as a variant: the whole text, else from the first ``{`` to the last ``}``; null if none.
 

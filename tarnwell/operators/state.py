@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.operators.reporting import pending
+from tarnwell.operators.scan import numbered
 from tarnwell.schema import DONE, ERROR, PENDING, RUNNING, SKIPPED, STAGES
 
 
@@ -107,9 +108,53 @@ def reset_stage(images: DataFrame, stage: str) -> DataFrame:
     return _set(images, F.lit(True), values)
 
 
-def replace_for_images(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """A derived table in which the rows of the images in ``fresh`` give way to those of ``fresh``."""
-    kept = stored.join(fresh.select("image_id").distinct(), "image_id", "left_anti").select(*stored.columns)
+#: Stage -> the tables whose rows it or what follows it has made.
+DERIVED = {"detect": ("detections", "adjudications"), "adjudicate": ("adjudications",), "analyze": ("metadata",)}
+
+
+def reset(tables: dict[str, DataFrame], *stages: str) -> dict[str, DataFrame]:
+    """An index with the stages named, or all, to do again, without the rows derived by them.
+
+    After a reset of second opinions the images have to be decided anew from their boxes, for a verdict may have cleared
+    the doubt that puts them in the queue.
+    """
+    out = dict(tables)
+    for stage in stages or STAGES:
+        out["images"] = reset_stage(out["images"], stage)
+        for name in DERIVED[stage]:
+            if name in out:
+                out[name] = truncate(out[name])
+    return out
+
+
+def truncate(table: DataFrame) -> DataFrame:
+    """A table without rows."""
+    return table.where(F.lit(False))
+
+
+def rebuilt(tables: dict[str, DataFrame], version: str, current: str) -> dict[str, DataFrame]:
+    """An index as it may be used: itself if it is of the current version, else its tables emptied, to be filled anew."""
+    return dict(tables) if version == current else {k: truncate(v) for k, v in tables.items()}
+
+
+def append_log(log: DataFrame, entries: DataFrame, now: float) -> DataFrame:
+    """The action log with new entries (image_id, action, detail), numbered after its greatest id in order of image and action."""
+    last = log.agg(F.coalesce(F.max("id"), F.lit(0))).head()[0]
+    fresh = numbered(entries.select("image_id", "action", "detail"), ["image_id", "action", "detail"], last + 1)
+    return log.unionByName(fresh.withColumn("created_at", F.lit(now)).select(*log.columns))
+
+
+def batch_size(batch: int, budget: int | None) -> int:
+    """How many rows to claim next with so many left to spend in a run (None: no limit); 0 when it is spent."""
+    return batch if budget is None else max(0, min(batch, budget))
+
+
+def replace_for_images(stored: DataFrame, fresh: DataFrame, images: DataFrame) -> DataFrame:
+    """A derived table in which the rows of ``images`` (image_id), those that were looked at again, give way to ``fresh``.
+
+    An image with nothing in ``fresh`` keeps nothing.
+    """
+    kept = stored.join(images.select("image_id").distinct(), "image_id", "left_anti").select(*stored.columns)
     return kept.unionByName(fresh.select(*stored.columns))
 
 

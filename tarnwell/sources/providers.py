@@ -8,12 +8,17 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Box = dict
 
 
 class Detector(Protocol):
-    """Finds boxes; None for what it couldn't read, an empty list for what shows nothing."""
+    """Finds boxes; None for what it couldn't read, an empty list for what shows nothing.
+
+    One that can look into videos has a second method, ``frames(path)``: the boxes of each sampled frame, None if no frame
+    could be read.
+    """
 
     model: str
 
@@ -31,27 +36,69 @@ class Describer(Protocol):
 BOXES = "array<struct<class:string,confidence:double,x1:double,y1:double,x2:double,y2:double>>"
 
 
-def detect(images: DataFrame, make: Callable[[], Detector], batch: int = 16) -> DataFrame:
-    """``id, path, boxes, model, error`` of each image (id, path); null boxes with an error where it couldn't be read.
+def merged_frames(frames: Sequence[Sequence[Box]]) -> list[Box]:
+    """One set of boxes for the frames of a video (a handful), as ``evidence.merge_frames`` has it, strongest class first.
 
-    A provider that raises fails its batch's rows, not the job. Filter before calling: nothing is pushed below a provider.
+    Per class those of the frame that has most of it, then the most confident one, then comes first.
+    """
+    best: dict[str, tuple[tuple, list[Box]]] = {}
+    for number, boxes in enumerate(frames):
+        by_class: dict[str, list[Box]] = {}
+        for box in boxes:
+            by_class.setdefault(box["class"].lower(), []).append(box)
+        for cls, own in by_class.items():
+            strength = (len(own), max(b["confidence"] for b in own), -number)
+            if cls not in best or strength > best[cls][0]:
+                best[cls] = (strength, own)
+    return [box for _, own in sorted(best.values(), key=lambda x: x[0][:2], reverse=True) for box in own]
+
+
+def _tidy(boxes: Sequence[Box], floor: float) -> list[Box]:
+    """Boxes from the least confidence worth keeping, classes in lower case, corners at two digits."""
+    kept = (b for b in boxes if b["confidence"] >= floor)
+    return [{**b, "class": b["class"].lower(), **{k: round(float(b[k]), 2) for k in ("x1", "y1", "x2", "y2")}} for b in kept]
+
+
+def detect(images: DataFrame, make: Callable[[], Detector], batch: int = 16, floor: float = 0.0) -> DataFrame:
+    """``id, path, boxes, model, error`` of each image (id, path, and ``is_video`` if there are videos).
+
+    Boxes are null with an error where a file couldn't be read; those below ``floor`` (``RuleSet.confidence_floor``) are
+    left out. Videos go to the provider's ``frames``, one by one, if it has that, else they are read as pictures are. A
+    provider that raises fails its batch's rows or its video, not the job. Filter before calling: nothing is pushed below
+    a provider.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def photos(detector: Detector, paths: list[str]) -> tuple[list, list]:
+        try:
+            found = detector.detect(paths)
+        except Exception as e:  # one bad batch must not end the run
+            return [None] * len(paths), [str(e)[:500]] * len(paths)
+        return found, ["unreadable image" if f is None else None for f in found]
+
+    def video(detector: Detector, path: str) -> tuple[list | None, str | None]:
+        try:
+            frames = detector.frames(path)
+        except Exception as e:
+            return None, str(e)[:500]
+        return (merged_frames(frames), None) if frames else (None, "no readable frame")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         detector = None
-        for frame in frames:
+        for frame in parts:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
                 detector = detector or make()
-                try:
-                    found, errors = detector.detect(list(part["path"])), [None] * len(part)
-                    errors = ["unreadable image" if f is None else None for f in found]
-                except Exception as e:  # one bad batch must not end the run
-                    found, errors = [None] * len(part), [str(e)[:500]] * len(part)
-                boxes = [None if f is None else [{**b, "class": b["class"].lower(), **{k: round(float(b[k]), 2) for k in ("x1", "y1", "x2", "y2")}} for b in f] for f in found]
-                yield pd.DataFrame({"id": part["id"], "path": part["path"], "boxes": boxes, "model": detector.model, "error": errors})
-
-    return images.select("id", "path").mapInPandas(run, f"id bigint, path string, boxes {BOXES}, model string, error string")
+                moving = list(part["is_video"]) if hasattr(detector, "frames") else [False] * len(part)
+                results: list = [video(detector, p) if v else None for p, v in zip(part["path"], moving)]
+                still = [i for i, v in enumerate(moving) if not v]
+                if still:
+                    for i, *result in zip(still, *photos(detector, [part["path"].iloc[i] for i in still])):
+                        results[i] = result
+                boxes = [None if f is None else _tidy(f, floor) for f, _ in results]
+                yield pd.DataFrame({"id": part["id"], "path": part["path"], "boxes": boxes, "model": detector.model, "error": [e for _, e in results]})
+
+    rows = images if "is_video" in images.columns else images.withColumn("is_video", F.lit(False))
+    return rows.select("id", "path", "is_video").mapInPandas(run, f"id bigint, path string, boxes {BOXES}, model string, error string")
 
 
 def describe(images: DataFrame, make: Callable[[], Describer]) -> DataFrame:

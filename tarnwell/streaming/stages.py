@@ -6,16 +6,19 @@ as ``files_per_batch`` says; a stage ends when its input is used up (``available
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tarnwell.operators import evidence, reporting, semantic
+from tarnwell.operators import evidence, reporting, scan, semantic, state
 from tarnwell.plans.rules import VIDEO, RuleSet
-from tarnwell.schema import TABLES
+from tarnwell.schema import SKIPPED, TABLES
 from tarnwell.session import drop_table, materialize
 from tarnwell.sources import providers
 
@@ -47,6 +50,12 @@ def _exists(spark: SparkSession, folder: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def _begun(spark: SparkSession, folder: str) -> bool:
+    """Whether a batch of a stage's results has been written to the end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch=*/_SUCCESS")
+    return len(done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done) or []) > 0
+
+
 def read_results(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """All batches of a stage's results."""
     return spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}")
@@ -60,7 +69,7 @@ def detected_batch(images: DataFrame, rules: RuleSet, make: Callable[[], provide
     """
     waiting = images.where(reporting.pending("detect")).withColumn("is_video", evidence.is_video(F.col("path")))
     seen = waiting.where("not is_video") if not look_into_videos else waiting
-    found = materialize(providers.detect(seen, make).join(waiting.select("id", "is_video"), "id"), "found")  # infer once
+    found = materialize(providers.detect(seen, make, floor=rules.confidence_floor()).join(waiting.select("id", "is_video"), "id"), "found")  # infer once
     unread = waiting.join(found.select("id"), "id", "left_anti").select("id", "path", F.lit(True).alias("is_video"))
     errors = found.where("boxes is null and not is_video").select("id", F.col("error").alias("message"))
     real = found.where("boxes is not null").select(F.col("id").alias("image_id"), "model", F.posexplode("boxes").alias("seq", "b")).select("image_id", "seq", "b.*", "model")
@@ -121,6 +130,8 @@ def run_adjudicate(spark: SparkSession, out: str, rules: RuleSet, make: Callable
     answer are written to ``adjudicate_errors`` (id, message); their images have no verdict and keep detection's decision. ``settled`` holds every image that was in doubt, asked
     about or not, with the decision that holds now; that lets it go on to be described.
     """
+    if not _begun(spark, f"{out}/decisions"):
+        return  # nothing has been detected yet
     schema = read_results(spark, out, "decisions").schema
 
     def work(batch: DataFrame, number: int) -> None:
@@ -178,7 +189,7 @@ def run_analyze(spark: SparkSession, out: str, rules: RuleSet, make: Callable[[]
         return work
 
     for name, detected_in in (("decisions", "batch"), ("settled", "detected_in")):
-        if (stopper is None or not stopper.stopped) and _exists(spark, f"{out}/{name}"):
+        if (stopper is None or not stopper.stopped) and _begun(spark, f"{out}/{name}"):
             schema = read_results(spark, out, name).schema
             run_stage(spark, f"{out}/{name}", schema, f"{out}/checkpoints/analyze-{name}", describing(name, detected_in), stopper, files_per_batch)
 
@@ -197,3 +208,99 @@ def run_all(steps: list[Callable[[], None]], stopper: Stopper) -> list[str]:
                 stopper.stop()
                 raise
     return problems
+
+
+def run_together(steps: list[Callable[[], None]], stopper: Stopper, pause: float = 2.0) -> list[str]:
+    """Runs stages at the same time, each in a thread: a later one takes up what the ones before it have written so far.
+
+    A stage after the first is run again and again, from where it ended, until all before it had ended when it began. The
+    first one's failure stops all and is raised, others' don't stop the rest; what went wrong with them is returned.
+    """
+    problems: list[tuple[int, BaseException]] = []
+    ended = [threading.Event() for _ in steps]
+
+    def keep_running(at: int) -> None:
+        try:
+            while True:
+                last = all(e.is_set() for e in ended[:at])
+                steps[at]()
+                if last or stopper.stopped:
+                    return
+                time.sleep(pause)
+        except Exception as e:
+            problems.append((at, e))
+            if at == 0:
+                stopper.stop()
+        finally:
+            ended[at].set()
+
+    threads = [InheritableThread(target=keep_running, args=(i,), name=f"stage-{i}") for i in range(len(steps))]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    for at, problem in problems:
+        if at == 0:
+            raise problem
+    return [f"{type(e).__name__}: {e}" for _, e in sorted(problems, key=lambda x: x[0])]
+
+
+def stage_tally(spark: SparkSession, out: str) -> DataFrame:
+    """``stage, kind, value, n``: how many images each stage processed, by category or verdict, and how many failed in it."""
+    rows = spark.createDataFrame([], "stage string, kind string, value string, n bigint")
+    wanted = (
+        ("detect", "decisions", "category"), ("detect", "errors", None), ("adjudicate", "rechecked", "category"), ("adjudicate", "verdicts", "verdict"),
+        ("adjudicate", "adjudicate_errors", None), ("analyze", "metadata", None), ("analyze", "analyze_errors", None),
+    )
+    for stage, name, column in wanted:
+        if _exists(spark, f"{out}/{name}"):
+            table = read_results(spark, out, name)
+            kind = column or ("error" if name.endswith("errors") else "described")
+            value = F.col(column) if column else F.lit(None).cast("string")
+            rows = rows.unionByName(table.groupBy(F.lit(stage).alias("stage"), F.lit(kind).alias("kind"), value.alias("value")).agg(F.count(F.lit(1)).alias("n")))
+    return rows
+
+
+def settle(spark: SparkSession, out: str, tables: dict[str, DataFrame], now: float) -> dict[str, DataFrame]:
+    """An index after the stages whose results are in ``out``: states, decisions and errors of its images, and their rows.
+
+    ``tables``: images, detections, adjudications, metadata. Images looked at anew give up their old boxes and verdicts
+    even where nothing was found. Ids of new rows follow the greatest there is.
+    """
+    images, out_tables = tables["images"], dict(tables)
+
+    def result(name: str) -> DataFrame | None:
+        return read_results(spark, out, name) if _exists(spark, f"{out}/{name}") else None
+
+    def replaced(name: str, rows: DataFrame, seen: DataFrame) -> None:
+        stored = out_tables[name]
+        start = stored.agg(F.coalesce(F.max("id"), F.lit(0))).head()[0] + 1
+        fresh = scan.numbered(rows, [c for c in ("image_id", "seq", "class") if c in rows.columns], start).withColumn("created_at", F.lit(now))
+        shape = [(F.col(f.name) if f.name in fresh.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in stored.schema]
+        out_tables[name] = state.replace_for_images(stored, fresh.select(*shape), seen)
+
+    decided = result("decisions")
+    if decided is not None:
+        images = state.finish_detect(images, decided, now)
+        skipped = decided.where("skip_analyze").select(F.col("image_id").alias("id"), F.lit(True).alias("__skip"))
+        both = images.join(skipped, "id", "left")
+        images = both.withColumn("analyze_state", F.when(F.col("__skip"), F.lit(SKIPPED)).otherwise(F.col("analyze_state")).cast("int")).select(*images.columns)
+        replaced("detections", result("boxes"), decided)
+        replaced("adjudications", result("boxes").where(F.lit(False)).select("image_id", "class"), decided)
+    rechecked = result("rechecked")
+    if rechecked is not None:
+        images = state.finish_adjudicate(images, rechecked, now)
+        said = result("verdicts").withColumnRenamed("verdict_confidence", "confidence")
+        replaced("adjudications", said, rechecked)
+    described = result("metadata")
+    if described is not None:
+        images = state.finish_analyze(images, described.select(F.col("image_id").alias("id")), now)
+        stored = out_tables["metadata"]
+        fresh = described.withColumn("created_at", F.lit(now)).select(*stored.columns)
+        out_tables["metadata"] = state.replace_for_images(stored, fresh, described)
+    for stage, name in (("detect", "errors"), ("adjudicate", "adjudicate_errors"), ("analyze", "analyze_errors")):
+        failed = result(name)
+        if failed is not None:
+            images = state.fail(images, stage, failed.select("id", "message"), now)
+    out_tables["images"] = state.sync_queues(images)
+    return out_tables

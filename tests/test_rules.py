@@ -28,7 +28,7 @@ def test_round_trip_and_words():
     node = {"all_of": ["cat", {"class": "dog", "min_count": 2, "min_confidence": 0.5}, {"not": {"any_of": ["bus", "car"]}}, {"none_of": [{"any_detection": True, "min_count": 3}]}]}
     tree = parse(node)
     assert parse(tree.to_json()) == tree
-    assert tree.describe() == "cat and 2+ dog @0.50 and not (bus or car) and no any 3+ detection"
+    assert tree.describe() == "cat and 2 or more dog (sure from 0.50) and all but [either bus or car] and none of 3 or more boxes of any class"
     assert parse({"always": False}).to_json() == {"always": True}
     assert parse("  CAT ").cls == "cat"
 
@@ -69,6 +69,14 @@ def test_validation():
             parse_ruleset({"rules": [bad]})
 
 
+def test_all_problems_are_told_at_once():
+    with pytest.raises(RuleError) as e:
+        parse({"class": "", "min_count": 0, "colour": 1})
+    assert all(x in str(e.value) for x in ("class", "min_count", "colour"))
+    rules = parse_ruleset({"rules": [{"name": "x", "when": "unicorn", "action": "fly"}, {"name": "in-doubt", "when": "cat", "action": "delete"}]})
+    assert len(rules.problems(["copy", "move", "delete", "ignore"], ["cat"])) == 3 and starter(["cat"]).problems(["copy", "move", "ignore"]) == []
+
+
 def test_starter_order_and_folders():
     rules = starter(["dog", "cat", "video"])
     assert rules.names == ["cat-dog", "cat", "dog", "video", "none", "in-doubt"]

@@ -109,4 +109,22 @@ def test_moves_marks_dismissals(spark):
         state.set_marks(marks, ids, "maybe", 1.0)
     stored = spark.createDataFrame([(1, "a"), (2, "b")], "image_id long, c string")
     fresh = spark.createDataFrame([(1, "z"), (1, "y")], "image_id long, c string")
-    assert sorted(tuple(r) for r in state.replace_for_images(stored, fresh).collect()) == [(1, "y"), (1, "z"), (2, "b")]
+    assert sorted(tuple(r) for r in state.replace_for_images(stored, fresh, fresh).collect()) == [(1, "y"), (1, "z"), (2, "b")]
+    seen = spark.createDataFrame([(1,), (2,)], "image_id long")  # 2 was looked at again and shows nothing
+    assert sorted(tuple(r) for r in state.replace_for_images(stored, fresh, seen).collect()) == [(1, "y"), (1, "z")]
+
+
+def test_resets_log_and_budget(spark):
+    rows = images(spark, {"detect_state": DONE, "category": "cat", "analyze_state": DONE})
+    one = spark.createDataFrame([(1, 1)], "id long, image_id long")
+    tables = {"images": rows, "detections": one, "adjudications": one, "metadata": one}
+    count = lambda t: {n: d.count() for n, d in t.items()}
+    assert count(state.reset(tables, "analyze")) == {"images": 1, "detections": 1, "adjudications": 1, "metadata": 0}
+    everything = state.reset(tables)
+    assert count(everything) == {"images": 1, "detections": 0, "adjudications": 0, "metadata": 0}
+    assert by_id(everything["images"], "detect_state", "category", "analyze_state")[1] == (PENDING, None, PENDING)
+    assert count(state.rebuilt(tables, "6", "7"))["images"] == 0 and count(state.rebuilt(tables, "7", "7"))["images"] == 1
+    log = spark.createDataFrame([(4, 1, "move", "/x", 1.0)], TABLES["action_log"])
+    more = spark.createDataFrame([(2, "delete", "/b"), (1, "move", "/a")], "image_id long, action string, detail string")
+    assert by_id(state.append_log(log, more, 2.0), "image_id", "created_at") == {4: (1, 1.0), 5: (1, 2.0), 6: (2, 2.0)}
+    assert [state.batch_size(16, b) for b in (None, 40, 5, 0, -1)] == [16, 16, 5, 0, 0]

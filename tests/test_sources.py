@@ -12,11 +12,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwell.errors import RuleError
-from tarnwell.operators import evidence, export
+from tarnwell.operators import evidence, export, semantic
 from tarnwell.plans import actions
 from tarnwell.plans.rules import starter
 from tarnwell.sources import effects, files, headers, providers, settings
 from tarnwell.streaming import stages
+from tarnwell.schema import DONE, ERROR, SKIPPED, TABLES
 from test_scan_state import images
 
 
@@ -253,6 +254,97 @@ def test_runs_stop(spark):
     assert stopper.stopped and stages.run_all([lambda: done.append(9)], stopper) == [] and 9 not in done
 
 
+def filming():
+    """Sees two cats in the second frame of a video; can't read broken ones."""
+
+    class Films:
+        model = "films"
+
+        def detect(self, paths):
+            return [[box("Dog", 0.9), box("dog", 0.1)] for _ in paths]
+
+        def frames(self, path):
+            return None if "broken" in path else [[box("cat", 0.95)], [box("cat", 0.5), box("Cat", 0.6), box("dog", 0.4)], []]
+
+    def box(cls, confidence):
+        return {"class": cls, "confidence": confidence, "x1": 0.126, "y1": 0.0, "x2": 9.0, "y2": 9.0}
+
+    return Films
+
+
+def test_frames_of_videos_are_merged(spark):
+    rows = images(spark, {"path": "/l/a.jpg"}, {"path": "/l/b.mp4"}, {"path": "/l/broken.mp4"}).withColumn("is_video", F.col("path").endswith("mp4"))
+    got = {r["id"]: r for r in providers.detect(rows, filming(), floor=0.3).collect()}
+    seen = lambda i: [(b["class"], b["confidence"], b["x1"]) for b in got[i]["boxes"]]
+    assert seen(1) == [("dog", 0.9, 0.13)] and seen(2) == [("cat", 0.5, 0.13), ("cat", 0.6, 0.13), ("dog", 0.4, 0.13)]
+    assert got[3]["boxes"] is None and got[3]["error"] == "no readable frame"
+    frames = [(1, n, b["class"].lower(), b["confidence"]) for n, f in enumerate(filming()().frames("x")) for b in f]
+    merged = evidence.merge_frames(spark.createDataFrame(frames, "file_id long, frame int, class string, confidence double"))
+    assert sorted((r["class"], r["confidence"]) for r in merged.collect()) == sorted((b["class"].lower(), b["confidence"]) for b in providers.merged_frames(filming()().frames("x")))
+
+
+def test_stages_together_and_their_results_in_the_index(spark, tmp_path):
+    rules = starter(["cat", "dog", "video"])
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [{"path": f"/l/{i}{'.mp4' if i % 7 == 0 else '.jpg'}"} for i in range(1, 24)] + [{"path": "/l/broken.jpg"}, {"path": "/l/broken.mp4"}]
+    table = images(spark, *rows)
+    table.repartition(3).write.parquet(source)
+    stopper = stages.Stopper()
+    steps = [
+        lambda: stages.run_detect(spark, source, out, rules, providers.FakeDetector, stopper, files_per_batch=1),
+        lambda: stages.run_adjudicate(spark, out, rules, failing(), stopper),
+        lambda: stages.run_analyze(spark, out, rules, describing(), stopper),
+    ]
+    assert stages.run_together(steps, stopper, pause=0.1) == []
+    old = spark.createDataFrame([(7, 1, "cow", 0.5), (9, 24, "cow", 0.9)], "id long, image_id long, class string, confidence double")
+    columns = "id long, image_id long, class string, confidence double, x1 double, y1 double, x2 double, y2 double, model string, created_at double"
+    boxes = old.unionByName(spark.createDataFrame([], columns), allowMissingColumns=True)
+    tables = {"images": table, "detections": boxes, "adjudications": spark.createDataFrame([], TABLES["adjudications"]), "metadata": spark.createDataFrame([], TABLES["metadata"])}
+    after = stages.settle(spark, out, tables, 9.0)
+    rows = {r["id"]: r for r in after["images"].collect()}
+    first = {r["image_id"]: r for r in stages.read_results(spark, out, "decisions").collect()}
+    asked = {r["image_id"] for r in evidence.uncertain_classes(stages.read_results(spark, out, "boxes"), rules).collect()}
+    assert rows[24]["detect_state"] == ERROR and rows[24]["error"] == "unreadable image" and all(rows[i]["detect_state"] == DONE for i in first)
+    assert {i for i in asked if rows[i]["adjudicate_state"] == DONE} == {i for i in asked if i % 2 == 0}
+    assert {i for i in asked if rows[i]["adjudicate_state"] == ERROR} == {i for i in asked if i % 2} and any(i % 2 for i in asked)
+    assert all(rows[i]["category"] == first[i]["category"] for i in first if i not in asked) and rows[25]["analyze_state"] == SKIPPED
+    known = {r["image_id"]: r["class"] for r in after["detections"].where("class = 'cow'").collect()}
+    assert known == {24: "cow"}  # 1 was looked at again, 24 couldn't be
+    assert after["detections"].count() == after["detections"].select("id").distinct().count() == stages.read_results(spark, out, "boxes").count() + 1
+    described = {r["image_id"] for r in after["metadata"].collect()}
+    assert described and all(rows[i]["analyze_state"] == DONE for i in described)
+    tally = {(r["stage"], r["kind"]): r["n"] for r in stages.stage_tally(spark, out).groupBy("stage", "kind").agg(F.sum("n").alias("n")).collect()}
+    assert tally["detect", "category"] == len(first) and tally["detect", "error"] == 1 and tally["adjudicate", "error"] == sum(i % 2 for i in asked) and tally["analyze", "described"] == len(described)
+
+
+def test_failures_of_stages_that_run_together(spark):
+    done, stopper = [], stages.Stopper()
+    assert stages.run_together([lambda: done.append(1), lambda: 1 / 0, lambda: done.append(3)], stopper, 0.01) == ["ZeroDivisionError: division by zero"] and {1, 3} <= set(done)
+    with pytest.raises(ZeroDivisionError):
+        stages.run_together([lambda: 1 / 0, lambda: done.append(2)], stopper, 0.01)
+    assert stopper.stopped
+
+
+def test_prompts_and_requests():
+    prompt = semantic.description_prompt(["cat", "dog"], "cat (90%)")
+    assert "cat or dog" in prompt and "cat (90%)" in prompt and "dog_kinds" in prompt and "detector" not in semantic.description_prompt(["cat"])
+    asked = semantic.verdict_prompt(["cat"])
+    assert "cat" in asked and all(v in asked for v in ("present", "absent", "unsure"))
+    made = semantic.request("m", asked, semantic.verdict_schema(["cat"]), "AAAA")
+    assert made["options"]["temperature"] == 0 and made["messages"][0]["images"] == ["AAAA"] and made["format"]["required"] == ["cat_verdict", "cat_confidence"]
+
+
+def test_one_array_of_records(spark, tmp_path):
+    rows = images(spark, {"category": "cat"}, {"category": "dog"}, {"missing": 1})
+    boxes = spark.createDataFrame([(1, 2, "cat", 0.5)], "id long, image_id long, class string, confidence double")
+    meta = spark.createDataFrame([(1, '{"a": 1}'), (2, "prose")], "image_id long, json string")
+    path = str(tmp_path / "x.json")
+    assert export.write_json_array(export.records(rows, boxes, meta), path) == 2
+    first, second = json.load(open(path))
+    assert (first["id"], first["metadata"], first["detections"], second["metadata"], second["detections"][0]["class"]) == (1, {"a": 1}, [], None, "cat")
+    assert export.write_json_array(export.records(rows.where("false"), boxes, meta), path) == 0 and json.load(open(path)) == []
+
+
 STEP = "image_id long, seq int, action string, source string, target string"
 
 
