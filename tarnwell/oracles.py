@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tarnwell import moments_sql, nested_sql
+from tarnwell.state_queries import _LINKS
+from tarnwell.state_queries import ORACLES as _STATE
 
 _I = "i AS (SELECT * FROM images WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
 _TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -31,9 +33,9 @@ f AS (SELECT x.image_id, coalesce(r.doubt, 0) AS needs_review, CASE
     WHEN coalesce(cat65, 0) >= 1 AND coalesce(dog50, 0) >= 1 THEN 'pets'
     WHEN coalesce(person60, 0) >= 3 THEN 'crowd'
     WHEN (coalesce(car65, 0) >= 1 OR coalesce(bus65, 0) >= 1 OR coalesce(bicycle40, 0) >= 1) AND NOT coalesce(person65, 0) >= 1 THEN 'street'
-    WHEN coalesce(cat65, 0) >= 1 THEN 'cat' WHEN NOT coalesce(any20, 0) >= 1 THEN 'quiet' WHEN coalesce(any65, 0) >= 4 THEN 'busy' ELSE 'none' END AS category
+    WHEN coalesce(cat65, 0) >= 1 THEN 'cat' WHEN NOT coalesce(any20, 0) >= 1 THEN 'quiet' WHEN coalesce(any65, 0) >= 4 THEN 'busy' ELSE 'rest' END AS category
     FROM {ids} x LEFT JOIN e USING (image_id) LEFT JOIN r USING (image_id)),
-d AS (SELECT image_id, category, CASE category WHEN 'crowd' THEN 'move' WHEN 'quiet' THEN 'ignore' WHEN 'busy' THEN 'delete' WHEN 'none' THEN 'ignore' ELSE 'copy' END AS action,
+d AS (SELECT image_id, category, CASE category WHEN 'crowd' THEN 'move' WHEN 'quiet' THEN 'ignore' WHEN 'busy' THEN 'delete' WHEN 'rest' THEN 'ignore' ELSE 'copy' END AS action,
     needs_review FROM f)"""
 
 
@@ -60,7 +62,7 @@ _COUNTS = ", ".join(
 # Steps as the rules above plan them: the doubt rule moves, so a doubtful image has no step of its own rule.
 _STEPS = f"""{_DECIDED},
 s AS (SELECT i.id AS image_id, i.path, i.filename, d.action AS own, d.category, d.needs_review FROM i JOIN d ON d.image_id = i.id
-    WHERE missing = 0 AND deleted = 0 AND detect_state = 2 AND d.category IN ('pets', 'crowd', 'street', 'cat', 'quiet', 'busy')),
+    WHERE missing = 0 AND deleted = 0 AND detect_state = 2 AND d.category IN ('pets', 'crowd', 'street', 'cat', 'quiet', 'busy', 'rest')),
 t AS (SELECT image_id, path, filename, CASE WHEN needs_review = 1 THEN 0 ELSE 1 END AS seq, CASE WHEN needs_review = 1 THEN 'move' ELSE own END AS action,
     CASE WHEN needs_review = 1 THEN '_Review' WHEN category = 'crowd' THEN 'People' ELSE upper(category[1]) || category[2:] END AS folder FROM s),
 w AS (SELECT *, '/out/' || folder AS directory, row_number() OVER (PARTITION BY folder, filename ORDER BY image_id, seq) AS nth FROM t WHERE action IN ('copy', 'move')),
@@ -105,13 +107,16 @@ _COERCED = ", ".join(
 _BITS = "h AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings)"
 _FAR = "list_sum(list_transform(list_zip(a.s, b.s), lambda z: (z[1] <> z[2])::INT))"
 _NEAR = f"{_BITS}, pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, {_FAR} AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE {_FAR} <= 18)"
-_VERSIONS = """
-t AS (SELECT id, path, size, mtime, updated_at FROM images WHERE id IS NOT NULL),
-y AS (SELECT min(path) AS path, arg_min({'s': size, 'm': mtime}, updated_at) AS x FROM t WHERE id % 11 <> 0 GROUP BY id),
-n AS (SELECT DISTINCT ON (path) path, size, mtime FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1) WHERE id % 13 <> 0),
-diff AS (SELECT coalesce(n.path, y.path) AS path, CASE WHEN y.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'missing'
-    WHEN n.size IS NOT DISTINCT FROM y.x.s AND abs(coalesce(n.mtime, 0) - coalesce(y.x.m, 0)) < 0.000001 THEN 'unchanged' ELSE 'changed' END AS status
-    FROM n FULL JOIN y ON n.path = y.path)"""
+# Components, then keepers one by one: each step takes the best of what is left of every component and all that is near it.
+_PEELED = """edge AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(a, b) AS (SELECT a, a FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+label AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
+peel(component, id, s, pixels, keeper, apart) AS (
+    SELECT component, id, s, (id % 7) * 10, NULL::BIGINT, NULL::BIGINT FROM label JOIN h ON vec_id = id
+    UNION ALL SELECT component, id, s, pixels, CASE WHEN far <= 18 THEN best END, far FROM (
+        SELECT *, list_sum(list_transform(list_zip(s, bs), lambda z: (z[1] <> z[2])::INT))::BIGINT AS far FROM (
+            SELECT *, first_value(id) OVER w AS best, first_value(s) OVER w AS bs FROM peel WHERE keeper IS NULL WINDOW w AS (PARTITION BY component ORDER BY pixels DESC, id)))),
+members AS (SELECT component, keeper, id, round_even((64 - apart) * 100.0::DOUBLE / 64, 1) AS similarity FROM peel WHERE keeper IS NOT NULL QUALIFY count(*) OVER (PARTITION BY component, keeper) > 1)"""
 _VIDEO = "regexp_matches(lower(path), '[^/]\\.(mp4|mov|m4v|avi|mkv|webm|3gp|3g2|mpg|mpeg|wmv)$')"
 
 ORACLES = {
@@ -131,10 +136,10 @@ ORACLES = {
     "video_boxes": f"""WITH {_I}, {_B}, x AS (SELECT class, confidence FROM b UNION ALL SELECT 'video', 1.0 FROM i WHERE {_VIDEO})
         SELECT class, count(*) AS n, max(confidence) AS top FROM x GROUP BY class""",
     "frame_positions": """SELECT p_partkey, array_to_string(list_transform(range(0, least(8, p_size)), lambda i: floor(p_size * (i + 0.5::DOUBLE) / 8)::INT), ',') AS frames FROM part""",
-    "pipeline_counts": f"""WITH {_I} SELECT count(*) FILTER (WHERE missing = 0) AS total, count(*) FILTER (WHERE missing = 1) AS missing, count(*) FILTER (WHERE deleted = 1) AS deleted, {_COUNTS},
+    "pipeline_counts": f"""WITH {_I}, {_LINKS} SELECT count(*) FILTER (WHERE missing = 0) AS total, count(*) FILTER (WHERE missing = 1) AS missing, count(*) FILTER (WHERE deleted = 1) AS deleted, {_COUNTS},
         count(*) FILTER (WHERE detect_state = 2 AND missing = 0 AND deleted = 0 AND (needs_review = 1 OR adjudicate_state IN (2, 3))) AS adjudicate_total,
         count(*) FILTER (WHERE detect_state = 2 AND missing = 0 AND deleted = 0 AND action IS NOT NULL AND action <> 'ignore') AS analyze_total,
-        count(*) FILTER (WHERE needs_review = 1 AND missing = 0) AS review, 0::BIGINT AS links_total FROM i""",
+        count(*) FILTER (WHERE needs_review = 1 AND missing = 0) AS review, (SELECT count(*) FROM l) AS links_total FROM i""",
     "category_counts": f"WITH {_I} SELECT coalesce(category, 'unprocessed') AS category, count(*) AS n FROM i WHERE missing = 0 GROUP BY 1",
     "action_counts": f"WITH {_I} SELECT action, count(*) AS n FROM i WHERE missing = 0 AND action IS NOT NULL GROUP BY 1",
     "class_counts": f"WITH {_B} SELECT class, count(*) AS n FROM b GROUP BY 1",
@@ -148,12 +153,14 @@ ORACLES = {
     "similarity_components": f"""WITH RECURSIVE {_NEAR}, edge AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
         reach(a, b) AS (SELECT a, a FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a)
         SELECT a AS id, min(b) AS component FROM reach GROUP BY a""",
+    "duplicate_groups": f"WITH RECURSIVE {_NEAR}, {_PEELED} SELECT * FROM members",
+    "largest_groups": f"""WITH RECURSIVE {_NEAR}, {_PEELED}, g AS (SELECT component, keeper, count(*) AS n, min(similarity) AS least FROM members GROUP BY ALL ORDER BY n DESC, least DESC, keeper LIMIT 10)
+        SELECT m.keeper, n, least, row_number() OVER (PARTITION BY m.keeper ORDER BY similarity DESC, 'f' || (m.id % 10), m.id)::INT AS place, m.id, CASE WHEN m.id % 3 = 0 THEN 'keep' END AS mark
+        FROM members m JOIN g USING (component, keeper)""",
     "dhash_bits": """WITH p AS (SELECT vec_id, list_concat(embedding, embedding[1:8]) AS px FROM embeddings),
         n AS (SELECT vec_id, list_transform(range(0, 16), lambda k: list_sum(list_transform(range(0, 4), lambda q:
             ((px[((4 * k + q) // 8) * 9 + (4 * k + q) % 8 + 1] > px[((4 * k + q) // 8) * 9 + (4 * k + q) % 8 + 2])::INT * (1 << (3 - q)))))) AS hx FROM p)
         SELECT vec_id, array_to_string(list_transform(hx, lambda x: '0123456789abcdef'[x::INT + 1]), '') AS dhash FROM n""",
-    "scan_diff": f"WITH {_VERSIONS} SELECT path, status FROM diff",
-    "scan_tally": f"WITH {_VERSIONS} SELECT status, count(*) AS n FROM diff GROUP BY status",
     "sync_queues": f"""WITH {_I}, q AS (SELECT id, action, detect_state, analyze_state, CASE
         WHEN detect_state = 2 AND adjudicate_state = 4 AND needs_review = 1 AND missing = 0 AND deleted = 0 THEN 0
         WHEN detect_state = 2 AND adjudicate_state = 0 AND needs_review = 0 THEN 4 ELSE adjudicate_state END AS adjudicate_state FROM i)
@@ -161,12 +168,25 @@ ORACLES = {
         THEN 4 ELSE analyze_state END AS analyze_state FROM q""",
     "retry_count": f"WITH {_I} SELECT sum((detect_state = 3)::BIGINT + (adjudicate_state = 3)::BIGINT + (analyze_state = 3)::BIGINT)::BIGINT AS n FROM i",
     "stale_detections": f"WITH {_I}, {_B} SELECT class, count(*) AS n FROM b WHERE image_id IN (SELECT id FROM i WHERE needs_review = 1) GROUP BY class",
-    "purge_missing": f"""WITH {_I}, {_B}, k AS (SELECT id FROM i WHERE missing IS DISTINCT FROM 1)
-        SELECT 'images' AS name, count(*) AS n FROM k UNION ALL SELECT 'detections', count(*) FROM b WHERE image_id IN (FROM k)
-        UNION ALL SELECT 'dupe_dismissals', count(*) FROM dupe_dismissals WHERE image_id_a IN (FROM k) AND image_id_b IN (FROM k)""",
     "plan_actions": f"{_STEPS} SELECT * FROM plan",
     "dry_run_counts": f"{_STEPS} SELECT action, count(*) AS n FROM plan GROUP BY action",
-    "prune_links": f"{_STEPS} SELECT image_id, target || '.old' AS link_path FROM plan WHERE action = 'copy' AND image_id % 5 = 0",
+    "prune_links": f"{_STEPS}, {_LINKS} SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM plan WHERE action = 'copy' AND target = link_path AND plan.image_id = l.image_id)",
+    "existing_links": f"{_STEPS}, {_LINKS} SELECT DISTINCT target AS link_path, plan.image_id FROM plan JOIN l ON target = link_path AND plan.image_id = l.image_id WHERE action = 'copy'",
+    "apply_tally": f"""{_STEPS}, {_LINKS} SELECT CASE WHEN action = 'copy' AND link_path IS NOT NULL THEN 'existing' WHEN t.path IS NULL THEN 'skipped' WHEN action = 'copy' THEN 'created' ELSE 'done' END AS outcome,
+        action, count(*) AS n FROM plan LEFT JOIN l ON target = link_path AND plan.image_id = l.image_id LEFT JOIN (SELECT DISTINCT path FROM i WHERE size > 0) t ON t.path = source GROUP BY ALL""",
+    "plan_preview": f"{_STEPS} SELECT action, source, target FROM plan ORDER BY image_id, seq LIMIT 50",
+    "starter_decisions": f"""WITH {_I}, {_B}, x AS (SELECT image_id, class, confidence FROM b UNION ALL SELECT id, 'video', 1.0 FROM i WHERE {_VIDEO}),
+        s AS (SELECT DISTINCT image_id, class FROM x WHERE confidence >= 0.65), h AS (SELECT id AS image_id, id IN (SELECT image_id FROM s WHERE class = 'cat') AS cat,
+        id IN (SELECT image_id FROM s WHERE class = 'dog') AS dog, id IN (SELECT image_id FROM s WHERE class = 'video') AS video FROM i)
+        SELECT image_id, CASE WHEN cat AND dog THEN 'cat-dog' WHEN cat THEN 'cat' WHEN dog THEN 'dog' WHEN video THEN 'video' ELSE 'none' END AS category,
+        CASE WHEN cat OR dog THEN 'copy' WHEN video THEN 'move' ELSE 'ignore' END AS action FROM h""",
+    "rule_outcomes": """SELECT * FROM (VALUES
+        ('starter', 'cat-dog,cat,dog,video,none,in-doubt', 'cat,dog,video', 0.35::DOUBLE, true, 'Cat-Dog,Cat,Dog,video,None,_Review', 0, true),
+        ('moved', 'dog,cat-dog,cat,video,none,in-doubt', 'cat,dog,video', 0.35, true, 'Dog,Cat-Dog,Cat,video,None,_Review', 0, true),
+        ('far', 'cat,dog,video,none,cat-dog,in-doubt', 'cat,dog,video', 0.35, true, 'Cat,Dog,video,None,Cat-Dog,_Review', 0, true),
+        ('all kinds', 'pets,crowd,street,cat,off,quiet,busy,rest,in-doubt', 'bicycle,bus,car,cat,dog,person', 0.3, true, 'Pets,People,Street,Cat,Off,Quiet,Busy,Rest,_Review', 0, true),
+        ('none', 'in-doubt', '', 0.35, false, '_Review', 0, true),
+        ('bad', 'x,in-doubt', 'unicorn', 0.35, true, 'X,_Review', 4, true)) t(name, rules, classes, floor, asks, folders, problems, round_trip)""",
     "search_metadata": f"WITH {_I}, {_META} SELECT i.id, path, category FROM m JOIN i ON i.id = m.image_id WHERE missing = 0 AND lower(json) LIKE '%kitchen%'",
     "coerce_reply": f"WITH {_REPLY} SELECT image_id, {_COERCED} FROM o",
     "json_highlights": f"""WITH {_REPLY}, k AS (SELECT image_id, list_filter([CASE WHEN len({_texts('cat_kinds')}) > 0 THEN 'cat: ' || {_shown('cat_kinds')} END,
@@ -183,4 +203,4 @@ ORACLES = {
         FROM i LEFT JOIN m ON m.image_id = i.id LEFT JOIN x ON x.image_id = i.id WHERE missing = 0""",
     "detection_hints": f"""WITH {_B}, {_BANDS} SELECT image_id, string_agg(class || ' (' || printf('%.0f', confidence * 100) || '%)', ', ' ORDER BY confidence DESC, id) AS hint
         FROM b LEFT JOIN band USING (class) WHERE confidence >= coalesce(high, 0.65) GROUP BY image_id""",
-} | {f"claim_{s}": f"WITH {_I} SELECT id, path FROM i WHERE {s}_state = 0 AND {r} ORDER BY id LIMIT 32" for s, r in _READY.items()} | moments_sql.ORACLES | nested_sql.ORACLES
+} | {f"claim_{s}": f"WITH {_I} SELECT id, path FROM i WHERE {s}_state = 0 AND {r} ORDER BY id LIMIT 32" for s, r in _READY.items()} | moments_sql.ORACLES | nested_sql.ORACLES | _STATE

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwell import index
+from tarnwell import index, state_queries
 from tarnwell.functions.hashes import hex16
 from tarnwell.operators import evidence, export, reporting, scan, semantic, similarity, state
 from tarnwell.oracles import ORACLES  # noqa: F401
@@ -26,6 +26,7 @@ RULES = parse_ruleset(
             {"name": "off", "when": {"class": "dog", "min_confidence": 0.9, "ollama_review": False}, "enabled": False},
             {"name": "quiet", "when": {"none_of": [{"any_detection": True, "min_confidence": 0.2}]}, "action": "ignore"},
             {"name": "busy", "when": {"any_detection": True, "min_count": 4}, "action": "delete"},
+            {"name": "rest", "when": {"always": True}, "action": "ignore"},
         ]
     }
 )
@@ -101,7 +102,8 @@ def detection_hints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pipeline_counts(spark: SparkSession, d: str) -> DataFrame:
-    return reporting.pipeline_counts(_images(spark, d, "missing", "deleted", "detect_state", "adjudicate_state", "analyze_state", "needs_review", "action"))
+    rows = _images(spark, d, "missing", "deleted", "detect_state", "adjudicate_state", "analyze_state", "needs_review", "action")
+    return reporting.pipeline_counts(rows, state_queries.links(spark, d))
 
 
 def category_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -154,11 +156,18 @@ def similarity_components(spark: SparkSession, d: str) -> DataFrame:
     return similarity.components(pairs.unionByName(similarity.copies(hashes, "vec_id", "bits")))
 
 
+def _photos(spark: SparkSession, d: str) -> DataFrame:
+    return _embedding_bits(spark, d).select(F.col("vec_id").alias("id"), F.col("bits").alias("h"), (F.col("vec_id") % 7).alias("width"), F.lit(10).alias("height"), F.lit(1).alias("size"))
+
+
 def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
-    hashes = _embedding_bits(spark, d)
-    labels = similarity_components(spark, d)
-    items = hashes.select(F.col("vec_id").alias("id"), F.col("bits").alias("h"), (F.col("vec_id") % 7).alias("width"), F.lit(10).alias("height"), F.lit(1).alias("size"))
-    return similarity.keeper_groups(items, labels, 18)
+    return similarity.keeper_groups(_photos(spark, d), similarity_components(spark, d), 18)
+
+
+def largest_groups(spark: SparkSession, d: str) -> DataFrame:
+    items = _photos(spark, d).select("id", F.concat(F.lit("f"), (F.col("id") % 10).cast("string")).alias("filename"))
+    marks = items.where("id % 3 = 0").select(F.col("id").alias("image_id"), F.lit("keep").alias("mark"))
+    return similarity.group_members(duplicate_groups(spark, d), items, marks, 10).select("keeper", "n", "least", "place", "id", "mark")
 
 
 def dhash_bits(spark: SparkSession, d: str) -> DataFrame:
@@ -168,24 +177,6 @@ def dhash_bits(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", hex16(difference_hash("pixels")).alias("dhash"))
 
 
-def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The earlier and the current state of the images' files: what an index knew and what a walk finds now."""
-    rows = read_table(spark, d, "images").select("id", "path", "size", "mtime", "updated_at")
-    first = rows.groupBy("id").agg(F.min_by(F.struct("size", "mtime"), "updated_at").alias("x"), F.min("path").alias("path"))
-    then = first.where("id % 11 <> 0").select("path", "x.size", "x.mtime")
-    now = current_rows(rows, "id", "updated_at", ["path", "size", "mtime"]).where("id % 13 <> 0")
-    return now.select("path", "size", "mtime"), then
-
-
-def scan_diff(spark: SparkSession, d: str) -> DataFrame:
-    now, then = _versions(spark, d)
-    return scan.snapshot_diff(now.dropDuplicates(["path"]), then.dropDuplicates(["path"]))
-
-
-def scan_tally(spark: SparkSession, d: str) -> DataFrame:
-    return scan.scan_tally(scan_diff(spark, d))
-
-
 def _claim(stage: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
         return state.claim(_images(spark, d, "path", "missing", "deleted", "needs_review", "action", "detect_state", "adjudicate_state", "analyze_state"), stage, 32)
@@ -207,13 +198,6 @@ def stale_detections(spark: SparkSession, d: str) -> DataFrame:
     return scan.stale_rows(index.boxes(spark, d), changed).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
-def purge_missing(spark: SparkSession, d: str) -> DataFrame:
-    tables = {"images": _images(spark, d, "missing"), "detections": index.boxes(spark, d), "dupe_dismissals": read_table(spark, d, "dupe_dismissals")}
-    left = scan.purge(tables, F.col("missing") == 1)
-    counts = [t.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n, t in left.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
-
-
 def _planned(spark: SparkSession, d: str) -> DataFrame:
     images = _images(spark, d, "path", "filename", "missing", "deleted", "detect_state")
     decided = evidence.decide(images.select(F.col("id").alias("image_id")), index.boxes(spark, d), RULES)
@@ -230,9 +214,39 @@ def dry_run_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prune_links(spark: SparkSession, d: str) -> DataFrame:
-    plan = _planned(spark, d)
-    made = plan.where("action = 'copy'").select("image_id", F.when(F.col("image_id") % 5 == 0, F.concat("target", F.lit(".old"))).otherwise(F.col("target")).alias("link_path"))
-    return actions.stale_links(made, plan)
+    return actions.stale_links(state_queries.links(spark, d), _planned(spark, d))
+
+
+def existing_links(spark: SparkSession, d: str) -> DataFrame:
+    return actions.existing_links(state_queries.links(spark, d), _planned(spark, d))
+
+
+def apply_tally(spark: SparkSession, d: str) -> DataFrame:
+    present = _images(spark, d, "path", "size").where("size > 0").select("path")
+    return actions.apply_tally(actions.outcomes(_planned(spark, d), state_queries.links(spark, d), present))
+
+
+def plan_preview(spark: SparkSession, d: str) -> DataFrame:
+    return reporting.preview(_planned(spark, d), 50)[1]
+
+
+def starter_decisions(spark: SparkSession, d: str) -> DataFrame:
+    marked = evidence.with_video_class(index.boxes(spark, d), _images(spark, d, "path").where(evidence.is_video(F.col("path"))).select(F.col("id").alias("image_id"), "path"))
+    return evidence.decide(_ids(spark, d), marked, STARTER).select("image_id", "category", "action")
+
+
+def rule_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What the readers of rules say of some rule sets: names in order, classes, floor, second opinions, folders, problems."""
+    table = []
+    sets = {"starter": STARTER, "moved": STARTER.moved("dog", -5), "far": STARTER.moved("cat-dog", 99), "all kinds": RULES, "none": parse_ruleset({"rules": []})}
+    sets["bad"] = parse_ruleset({"rules": [{"name": "x", "when": {"class": "unicorn", "min_confidence": 0.2}, "action": "fly"}, {"name": "in-doubt", "when": "cat", "action": "delete"}]})
+    for name, rules in sets.items():
+        known = sorted(rules.required_classes())
+        folders = ",".join(r.target_folder for r in rules.rules)
+        problems = len(rules.problems(actions.ACTIONS, ["cat", "dog", "video", "person", "car", "bus", "bicycle"]))
+        again = parse_ruleset(rules.to_json()) == rules
+        table.append((name, ",".join(rules.names), ",".join(known), rules.confidence_floor(), rules.needs_second_opinion(), folders, problems, again))
+    return spark.createDataFrame(table, "name string, rules string, classes string, floor double, asks boolean, folders string, problems int, round_trip boolean")
 
 
 def _current_metadata(spark: SparkSession, d: str) -> DataFrame:
@@ -287,8 +301,8 @@ QUERIES = {
     for f in (
         recheck, decide_first_match, needs_review, uncertain_classes, class_bands, adjudicated_detections, recheck_tally, merge_frames, video_boxes,
         frame_positions, detection_hints, pipeline_counts, category_counts, action_counts, class_counts, verdict_counts, distinct_roots, exact_duplicates,
-        duplicate_listing, document_duplicates, hamming_pairs, similarity_components, duplicate_groups, dhash_bits, scan_diff, scan_tally, sync_queues,
-        retry_count, stale_detections, purge_missing, plan_actions, dry_run_counts, prune_links, search_metadata, coerce_reply, parse_verdict,
+        duplicate_listing, document_duplicates, hamming_pairs, similarity_components, duplicate_groups, largest_groups, dhash_bits, sync_queues,
+        retry_count, stale_detections, plan_actions, dry_run_counts, prune_links, existing_links, apply_tally, plan_preview, starter_decisions, rule_outcomes, search_metadata, coerce_reply, parse_verdict,
         json_highlights, history, samples, export_records, export_csv, p2_found, p2_clocks, p5_found, p5_variants, p5_subjects,
     )
-} | {f"claim_{s}": _claim(s) for s in ("detect", "adjudicate", "analyze")}
+} | {f"claim_{s}": _claim(s) for s in ("detect", "adjudicate", "analyze")} | state_queries.QUERIES
