@@ -42,7 +42,8 @@ def probed_pairs(classes: DataFrame, distance: int, bands: int | None = None, cr
     A value that more than ``crowded`` hashes share in a band is cut in parts by a hash of theirs, and what probes it goes
     to all parts, so no task has to meet a crowd as a whole.
     """
-    m = bands or choose_bands(classes.count(), distance)
+    known = classes.count()
+    m = bands or choose_bands(known, distance)
     radius, edges = distance // m, [64 * i // m for i in range(m + 1)]
     masks, probes = [], []
     for low, high in zip(edges, edges[1:]):
@@ -53,9 +54,9 @@ def probed_pairs(classes: DataFrame, distance: int, bands: int | None = None, cr
     near = stored.select(F.col("h").alias("g"), "band", "value", F.explode(F.element_at(flips, F.col("band") + 1)).alias("flip"))
     near = near.select("g", "band", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     full = stored.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded)
-    parts = materialize(full.select("band", "value", F.ceil(F.col("n") / crowded).cast("int").alias("parts")), "crowds")
     keys = ["band", "value"]
-    if not parts.isEmpty():
+    parts = materialize(full.select(*keys, F.ceil(F.col("n") / crowded).cast("int").alias("parts")), "crowds") if known > crowded else None
+    if parts is not None and not parts.isEmpty():
         some = F.coalesce("parts", F.lit(1))
         stored = stored.join(parts, keys, "left").withColumn("part", F.pmod(F.xxhash64("h"), some).cast("int")).drop("parts")
         near = near.join(parts, keys, "left").select("g", *keys, F.explode(F.sequence(F.lit(0), some - 1)).alias("part"))
