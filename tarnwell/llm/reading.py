@@ -45,14 +45,10 @@ LONG_WORD = 9
 # Function words of the languages that count, the closed classes of their grammars: articles, pronouns,
 # prepositions, conjunctions, auxiliaries.
 FUNCTION_WORDS = {
-    "en": "the a an and or but if of in on at to from by with for about into i you he she it we they me him her us them my your his its our their this that these those "
-    "is are was were be been have has had do does did will would can could not as than then so because while when who which what there",
-    "de": "der die das den dem des ein eine einen einem einer eines und oder aber wenn weil dass ich du er sie es wir ihr mich mir ihm ihn uns mein meine sein seine unser in im an am auf "
-    "aus bei beim mit nach von vom zu zum zur für über um durch ist sind war waren hat haben hatte wird wurde nicht auch noch nur als wie so dann",
-    "fr": "le la les l un une des de du d et ou mais si que qu qui je j tu il elle nous vous ils elles me m te se s lui leur mon ma mes son sa ses notre ce cet cette ces "
-    "à au aux en dans sur sous avec pour par sans chez est sont était étaient a ont avait être été ne n pas plus comme quand très",
-    "es": "el la los las un una unos unas y e o pero si que de del en a al con por para sin sobre entre hasta desde yo tú él ella nosotros ellos ellas me te se nos le les lo mi mis su sus "
-    "este esta estos ese esa es son era eran ha han había ser fue fueron está no ni más muy como cuando porque",
+    "en": "the a an and or but if of in on at to from by with for as i you he she it we they my his her its our their this that is are was were be have had not then so because while when who which",
+    "de": "der die das den dem des ein eine einen einem einer eines und oder aber wenn weil dass ich du er sie es wir ihr mein sein im an am auf aus bei mit nach von zu zum zur für ist war hat wird nicht auch als dann",
+    "fr": "le la les l un une des de du d et ou mais que qu qui je j il elle nous vous ils se s lui leur mon ma mes son sa ce cette à au aux en dans sur avec pour par est a ne n pas quand",
+    "es": "el la los las un una unos y e o pero si que de del en a al con por para sin sobre desde yo él ella nosotros ellos me se nos le lo mi mis su sus este esta es son era ha no cuando porque",
 }
 # Upper bounds of LIX for the grades but the last, after its usual scale.
 LIX_BOUNDS = (25, 35, 45, 55)
