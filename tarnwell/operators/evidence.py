@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.plans.conditions import Count
@@ -160,6 +160,18 @@ def sampled_frames(total: Column, count: int) -> Column:
     )
 
 
+def middle_frame(total: Column) -> Column:
+    """The frame that stands for a whole video where one picture of it is wanted; null where there is none."""
+    return F.get(sampled_frames(total, 1), F.lit(0))
+
+
+def by_strength(merged: DataFrame) -> DataFrame:
+    """``merge_frames``'s rows with ``place``: the classes of a file from 0, those with most boxes first, then the most confident, then by name."""
+    sizes = merged.groupBy("file_id", "class").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("top"))
+    order = Window.partitionBy("file_id").orderBy(F.desc("n"), F.desc("top"), "class")  # as many rows as a file has classes
+    return merged.join(sizes.select("file_id", "class", (F.row_number().over(order) - 1).alias("place")), ["file_id", "class"]).select(*merged.columns, "place")
+
+
 def walked_frames(fps: Column, read: Column, count: int, limit: int = 900) -> Column:
     """The frames that stand for a video of unknown length: about one a second of the first ``limit`` that could be read.
 

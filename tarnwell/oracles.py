@@ -133,9 +133,13 @@ ORACLES = {
         g AS (SELECT file_id, class, frame, count(*) AS n, max(confidence) AS top FROM f GROUP BY ALL),
         best AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY file_id, class ORDER BY n DESC, top DESC, frame) = 1)
         SELECT f.* FROM f JOIN best USING (file_id, class, frame)""",
+    "frames_by_strength": """WITH f AS (SELECT user_id AS file_id, event_id % 8 AS frame, event_id AS seq, event_type AS class, least(value, 100) / 100 AS confidence FROM events),
+        g AS (SELECT file_id, class, frame, count(*) AS n, max(confidence) AS top FROM f GROUP BY ALL),
+        best AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY file_id, class ORDER BY n DESC, top DESC, frame) = 1)
+        SELECT file_id, class, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, top DESC, class)::INT - 1 AS place FROM best""",
     "video_boxes": f"""WITH {_I}, {_B}, x AS (SELECT class, confidence FROM b UNION ALL SELECT 'video', 1.0 FROM i WHERE {_VIDEO})
         SELECT class, count(*) AS n, max(confidence) AS top FROM x GROUP BY class""",
-    "frame_positions": """SELECT p_partkey, array_to_string(list_transform(range(0, least(8, p_size)), lambda i: floor(p_size * (i + 0.5::DOUBLE) / 8)::INT), ',') AS frames FROM part""",
+    "frame_positions": """SELECT p_partkey, array_to_string(list_transform(range(0, least(8, p_size)), lambda i: floor(p_size * (i + 0.5::DOUBLE) / 8)::INT), ',') AS frames, floor(p_size * 0.5::DOUBLE)::INT AS middle FROM part""",
     "pipeline_counts": f"""WITH {_I}, {_LINKS} SELECT count(*) FILTER (WHERE missing = 0) AS total, count(*) FILTER (WHERE missing = 1) AS missing, count(*) FILTER (WHERE deleted = 1) AS deleted, {_COUNTS},
         count(*) FILTER (WHERE detect_state = 2 AND missing = 0 AND deleted = 0 AND (needs_review = 1 OR adjudicate_state IN (2, 3))) AS adjudicate_total,
         count(*) FILTER (WHERE detect_state = 2 AND missing = 0 AND deleted = 0 AND action IS NOT NULL AND action <> 'ignore') AS analyze_total,

@@ -86,6 +86,10 @@ def merge_frames(spark: SparkSession, d: str) -> DataFrame:
     return evidence.merge_frames(_frames(spark, d))
 
 
+def frames_by_strength(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.by_strength(evidence.merge_frames(_frames(spark, d))).select("file_id", "class", "place").distinct()
+
+
 def video_boxes(spark: SparkSession, d: str) -> DataFrame:
     images = _images(spark, d, "path").select(F.col("id").alias("image_id"), "path")
     marked = evidence.with_video_class(index.boxes(spark, d), images.where(evidence.is_video(F.col("path"))))
@@ -94,7 +98,7 @@ def video_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 def frame_positions(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "part").select("p_partkey", "p_size")
-    return rows.select("p_partkey", F.array_join(evidence.sampled_frames(F.col("p_size"), 8), ",").alias("frames"))
+    return rows.select("p_partkey", F.array_join(evidence.sampled_frames(F.col("p_size"), 8), ",").alias("frames"), evidence.middle_frame(F.col("p_size")).alias("middle"))
 
 
 def detection_hints(spark: SparkSession, d: str) -> DataFrame:
@@ -299,7 +303,7 @@ def export_csv(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        recheck, decide_first_match, needs_review, uncertain_classes, class_bands, adjudicated_detections, recheck_tally, merge_frames, video_boxes,
+        recheck, decide_first_match, needs_review, uncertain_classes, class_bands, adjudicated_detections, recheck_tally, merge_frames, frames_by_strength, video_boxes,
         frame_positions, detection_hints, pipeline_counts, category_counts, action_counts, class_counts, verdict_counts, distinct_roots, exact_duplicates,
         duplicate_listing, document_duplicates, hamming_pairs, similarity_components, duplicate_groups, largest_groups, dhash_bits, sync_queues,
         retry_count, stale_detections, plan_actions, dry_run_counts, prune_links, existing_links, apply_tally, plan_preview, starter_decisions, rule_outcomes, search_metadata, coerce_reply, parse_verdict,

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
+import urllib.request
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -10,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwell.operators import semantic
+
 Box = dict
 
 
@@ -121,6 +126,45 @@ def describe(images: DataFrame, make: Callable[[], Describer]) -> DataFrame:
     return images.select("id", "path", "hint").mapInPandas(run, "id bigint, reply string, model string, error string")
 
 
+class ChatModel:
+    """A describer that asks a model behind a chat interface over HTTP.
+
+    ``ask`` turns the hint of a picture to the question and the schema of its answer; ``read`` gives a file's picture in
+    base64, as small as the model needs it. No answer, or one that isn't a reply, is an error of that picture alone.
+    """
+
+    def __init__(self, url: str, model: str, ask: Callable[[str | None], tuple[str, dict]], read: Callable[[str], str], timeout: float = 120.0) -> None:
+        self.url, self.model, self._ask, self._read, self.timeout = url.rstrip("/"), model, ask, read, timeout
+
+    def describe(self, path: str, hint: str | None) -> str:
+        question, schema = self._ask(hint)
+        body = json.dumps(semantic.request(self.model, question, schema, self._read(path))).encode()
+        asked = urllib.request.Request(f"{self.url}/api/chat", body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(asked, timeout=self.timeout) as answer:
+            return (json.load(answer).get("message") or {}).get("content") or ""
+
+
+def file_in_base64(path: str) -> str:
+    """A picture as it is."""
+    with open(path, "rb") as file:
+        return base64.b64encode(file.read()).decode()
+
+
+def analyst(url: str, model: str, classes: Sequence[str], read: Callable[[str], str] = file_in_base64) -> ChatModel:
+    """The model that describes pictures; the hint is what a detector found."""
+    return ChatModel(url, model, lambda hint: (semantic.description_prompt(classes, hint), semantic.reply_schema(classes)), read)
+
+
+def judge(url: str, model: str, read: Callable[[str], str] = file_in_base64) -> ChatModel:
+    """The model that gives second opinions; the hint names the classes in doubt, parted by commas."""
+
+    def ask(hint: str | None) -> tuple[str, dict]:
+        classes = [c for c in (hint or "").split(",") if c]
+        return semantic.verdict_prompt(classes), semantic.verdict_schema(classes)
+
+    return ChatModel(url, model, ask, read)
+
+
 class FakeDetector:
     """Boxes that follow from the path alone, for tests and dry runs."""
 
@@ -146,6 +190,4 @@ class FakeDescriber:
     model = "fake-describer"
 
     def describe(self, path: str, hint: str | None) -> str:
-        import json
-
         return json.dumps({"activities": [], "environment": hint or "", "is_main_subject": True, "quality": 5, "notes": ""})

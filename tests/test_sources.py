@@ -334,6 +334,38 @@ def test_prompts_and_requests():
     assert made["options"]["temperature"] == 0 and made["messages"][0]["images"] == ["AAAA"] and made["format"]["required"] == ["cat_verdict", "cat_confidence"]
 
 
+def test_models_behind_a_chat_interface(spark, tmp_path):
+    import http.server
+    import threading
+
+    asked = []
+
+    class Chat(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, body))
+            self.send_response(200 if body["messages"][0]["images"] == ["YQ=="] else 500)
+            self.end_headers()
+            self.wfile.write(json.dumps({"message": {"content": '{"cat_verdict": "yes", "cat_confidence": 0.7}'}}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Chat)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/"
+        (tmp_path / "a.jpg").write_text("a")
+        (tmp_path / "b.jpg").write_text("b")
+        rows = spark.createDataFrame([(1, str(tmp_path / "a.jpg"), "cat,dog"), (2, str(tmp_path / "b.jpg"), "cat"), (3, str(tmp_path / "none"), "cat")], "id long, path string, hint string")
+        got = {r["id"]: r for r in providers.describe(rows, lambda: providers.judge(url, "m:1")).collect()}
+        assert got[1]["reply"] and got[1]["error"] is None and got[1]["model"] == "m:1" and all(got[i]["reply"] is None and got[i]["error"] for i in (2, 3))
+        assert providers.analyst(url, "m", ["cat"]).describe(str(tmp_path / "a.jpg"), "cat (90%)")
+        assert asked[0][0] == "/api/chat" and "cat (90%)" in asked[-1][1]["messages"][0]["content"] and "cat_kinds" in asked[-1][1]["format"]["properties"]
+    finally:
+        server.shutdown()
+
+
 def test_one_array_of_records(spark, tmp_path):
     rows = images(spark, {"category": "cat"}, {"category": "dog"}, {"missing": 1})
     boxes = spark.createDataFrame([(1, 2, "cat", 0.5)], "id long, image_id long, class string, confidence double")
